@@ -199,9 +199,13 @@ def log_normal_below(z: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
-def log_ndtr(z: pd.Series) -> pd.Series:
-    return pd.Series(log_normal_below(z.to_numpy(dtype=float, na_value=np.nan)))
+def log_ndtr(z: Column) -> Column:
+    """``log_normal_below`` of a column; null gives NaN. Spark has no such function."""
+
+    def below(v: pd.Series) -> pd.Series:
+        return pd.Series(log_normal_below(v.to_numpy(dtype=float, na_value=np.nan)))
+
+    return F.pandas_udf(below, "double")(z)
 
 
 def gaussian_bits(x: Column, mean: Column, sd: Column) -> Column:

@@ -35,7 +35,7 @@ def chunk_counts(texts: DataFrame, text: str = "text", pattern: str = SPLIT_PATT
 def pair_counts(counts: DataFrame) -> DataFrame:
     """``left, right, n``: how often two bytes stand side by side in counted chunks."""
     hexes = F.hex(F.encode("chunk", "UTF-8"))
-    b = F.transform(F.sequence(F.lit(0), F.length(hexes) / 2 - 1), lambda i: F.conv(F.substring(hexes, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    b = F.transform(F.sequence(F.lit(0), (F.length(hexes) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     b = counts.filter(F.length(hexes) >= 4).select("n", b.alias("b"))
     p = b.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.size("b") - 2), lambda i: F.struct(F.get("b", i).alias("left"), F.get("b", i + 1).alias("right")))).alias("p"))
     return p.groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))

@@ -143,15 +143,16 @@ def _flag_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield flush(pa.Table.from_batches(pending))
 
 
-def _cells(readings: DataFrame, hot: DataFrame, cell_rows: int) -> DataFrame:
-    """Of each hot source the hours with readings and the cells that read them: ``id, _text, _bin,
+def _cells(readings: DataFrame, cell_rows: int) -> DataFrame:
+    """Of hot sources' readings the hours with readings and the cells that read them: ``_i, _x, _b,
     _cell, _home``. Cells hold about cell_rows readings; an hour within HALO readings of a cell's
     end is read by its neighbour too."""
-    per = readings.join(hot.select("id", "_text"), ["id", "_text"], "left_semi").groupBy("id", "_text", F.floor(F.col("_t") / BIN_US).alias("_bin")).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("id", "_text").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    per = readings.groupBy(F.col("id").alias("_i"), F.col("_text").alias("_x"), F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("_i", "_x").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("_to", F.sum("_n").over(order)).withColumn("_from", F.col("_to") - F.col("_n"))
     first, last = F.floor(F.greatest(F.col("_from") - HALO, F.lit(0)) / cell_rows), F.floor((F.col("_to") - 1 + HALO) / cell_rows)
-    return per.select("id", "_text", "_bin", F.floor(F.col("_from") / cell_rows).alias("_own"), F.explode(F.sequence(first, last)).alias("_cell")).withColumn("_home", F.col("_cell") == F.col("_own")).drop("_own")
+    own = F.floor(F.col("_from") / cell_rows)
+    return per.select("_i", "_x", "_b", own.alias("_own"), F.explode(F.sequence(first, last)).alias("_cell")).withColumn("_home", F.col("_cell") == F.col("_own")).drop("_own")
 
 
 def implausible(events: DataFrame, limits: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -177,17 +178,14 @@ def implausible(events: DataFrame, limits: DataFrame, cell_rows: int = CELL_ROWS
 
     timed = e.filter("_t is not null")
     raw = pick(events, "id", "time", "class", "text_value", "numeric_value").filter((F.col("class") == "vital") & usable("numeric_value") & F.col("text_value").isNotNull() & F.col("time").isNotNull())
-    hot = raw.groupBy("id", F.col("text_value").alias("_text")).agg(F.count("*").alias("_n"), (F.min("numeric_value") != F.max("numeric_value")).alias("_varied")).filter(F.col("_n") > cell_rows)
+    hot = raw.groupBy(F.col("id").alias("_i"), F.col("text_value").alias("_x")).agg(F.count("*").alias("_n"), (F.min("numeric_value") != F.max("numeric_value")).alias("_v_h")).filter(F.col("_n") > cell_rows)
     keyed = timed.withColumn("_varied", F.lit(False)).withColumn("_home", F.lit(True)).withColumn("_cell", F.lit(0).cast("long"))
     if not hot.isEmpty():
         timed = timed.withColumn("_bin", F.floor(F.col("_t") / BIN_US))
-        same = lambda a, b, *c: [a["id"].eqNullSafe(b["id"]), a["_text"] == b["_text"], *[a[x] == b[x] for x in c]]
-        big = timed.join(hot, same(timed, hot), "left_semi")
-        cells = _cells(big, hot, cell_rows)
-        cold = timed.join(hot, same(timed, hot), "left_anti").select("*", F.lit(False).alias("_varied"), F.lit(0).cast("long").alias("_cell"), F.lit(True).alias("_home"))
-        cut_up = big.join(cells, same(big, cells, "_bin")).select(*[big[c] for c in timed.columns], "_cell", "_home")
-        cut_up = cut_up.join(hot, same(cut_up, hot)).select(*[cut_up[c] for c in cut_up.columns], "_varied")
-        keyed = cold.unionByName(cut_up)
+        is_source = F.col("id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))
+        big = timed.join(hot, is_source).withColumn("_varied", F.col("_v_h")).drop("_i", "_x", "_n", "_v_h")
+        cold = timed.join(hot, is_source, "left_anti").select("*", F.lit(False).alias("_varied"), F.lit(0).cast("long").alias("_cell"), F.lit(True).alias("_home"))
+        keyed = cold.unionByName(big.join(_cells(big, cell_rows), is_source & (F.col("_bin") == F.col("_b"))).drop("_i", "_x", "_b"))
     keyed = keyed.select(F.xxhash64("id", "_text", "_cell").alias("_key"), "_t", "_src", "_v", "_low", "_high", "_varied", "_home", "id", "_text", "_cell")
     # one number names a source's cell in the batches; the sort keeps sources apart even if two had one number
     sorted_ = keyed.repartition("_key").sortWithinPartitions("_key", "id", "_text", "_cell", "_t", "_src").drop("id", "_text", "_cell")

@@ -47,14 +47,15 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
-def from_meds(meds: DataFrame) -> DataFrame:
+def from_meds(meds: DataFrame, separator: str = r"\s*//\s*") -> DataFrame:
     """An event table from a table with ``subject_id, time, code, numeric_value``.
 
-    A code is a class and a text with ``//`` between them; blanks around the separator are
+    A code is a class and a text with ``//`` between them; blanks around the first separator are
     dropped and the class is lower-cased. A code without separator is a class without text, and
-    MEDS_BIRTH is the birth row. Null codes give a null class.
+    MEDS_BIRTH is the birth row. Null codes give a null class. ``separator`` is a pattern, for
+    instance ``\\s*/+\\s*`` for systems that write one to three slashes.
     """
-    pair = F.split(F.col("code"), r"\s*//\s*", 2)
+    pair = F.split(F.col("code"), separator, 2)
     birth = F.col("code") == "MEDS_BIRTH"
     out = meds.select(
         F.col("subject_id").alias("id"), "time", F.when(birth, F.lit("demographic")).otherwise(F.lower(F.get(pair, F.lit(0)))).alias("class"),
