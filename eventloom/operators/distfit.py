@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.numeric import _same, histogram
+from eventloom.operators.numeric import at_rank, histogram, ranked
 
 # The percentiles at which a fit is compared with the normal distribution.
 PERCENTS = (0.1, 1, 5, 10, 25, 50, 75, 90, 95, 99, 99.9)
@@ -15,14 +15,9 @@ LEAST_ROWS = 30
 FAMILIES = ("normal", "lognormal", "gamma", "minmax")
 
 
-def nearest_rank(hist: DataFrame, keys: list[str], percents: dict[str, float]) -> DataFrame:
-    """Percentiles that are values of the group: the one at rank (n - 1) p, halves rounded up."""
-    so_far = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    n = hist.groupBy(*keys).agg(F.sum("c").alias("n"))
-    r = hist.withColumn("_upto", F.sum("c").over(so_far)).alias("r").join(n.alias("n"), _same(keys, "r", "n")).select("r.*", "n.n")
-    at = lambda p: F.floor((F.col("n") - 1) * (p / 100.0) + 0.5)
-    pick = lambda k: F.max(F.when((k >= F.col("_upto") - F.col("c")) & (k < F.col("_upto")), F.col("v")))
-    return r.groupBy(*keys).agg(*[pick(at(p)).alias(name) for name, p in percents.items()])
+def nearest(p: float):
+    """The rank of the p-th percentile that is a value of the group: (n - 1) p, halves rounded up."""
+    return F.floor((F.col("n") - 1) * (p / 100.0) + 0.5)
 
 
 def recommend(rows: DataFrame, keys: list[str], value: str = "numeric_value", clip: tuple[float, float] = (1.0, 99.0), least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -37,21 +32,19 @@ def recommend(rows: DataFrame, keys: list[str], value: str = "numeric_value", cl
     Null keys are groups; smaller groups and empty tables give no rows. Everything is computed
     from one histogram per group.
     """
-    hist = histogram(rows, keys, F.col(value))
-    bounds = nearest_rank(hist, keys, {"low": clip[0], "high": clip[1]})
-    j = hist.alias("h").join(bounds.alias("b"), _same(keys, "h", "b"))
-    clipped = j.select(*[F.col(f"h.{k}").alias(k) for k in keys], F.least(F.greatest("v", "low"), F.col("high")).alias("v"), "c").groupBy(*keys, "v").agg(F.sum("c").alias("c"))
+    group = Window.partitionBy(*keys)
+    r = ranked(histogram(rows, keys, F.col(value)), keys).filter(F.col("n") >= least_rows)
+    r = r.select("*", at_rank(nearest(clip[0]), F.col("v")).over(group).alias("low"), at_rank(nearest(clip[1]), F.col("v")).over(group).alias("high"))
+    # clipping keeps the order, so ranks of values are ranks of clipped values
+    r = r.withColumn("x", F.least(F.greatest("v", "low"), F.col("high")))
+    log = F.log(F.when(F.col("x") > 0, F.col("x")))
+    r = r.select("*", (F.sum(F.col("x") * F.col("c")).over(group) / F.col("n")).alias("mean"), (F.sum(log * F.col("c")).over(group) / F.col("n")).alias("_mu"))
     names = {f"p{str(p).replace('.', '_')}": p for p in PERCENTS}
-    pct = nearest_rank(clipped, keys, names)
-    n = F.sum("c")
-    up = F.when(F.col("v") > 0, F.col("v"))
-    first = clipped.groupBy(*keys).agg(n.alias("count"), (F.sum(F.col("v") * F.col("c")) / n).alias("mean"), F.min("v").alias("min_val"), F.max("v").alias("max_val"), (F.sum(F.log(up) * F.col("c")) / n).alias("_mu"))
-    k = clipped.alias("c").join(first.alias("f"), _same(keys, "c", "f")).select(*[F.col(f"c.{x}").alias(x) for x in keys], "v", "c.c", "count", "mean", "min_val", "max_val", "_mu")
-    d, dl = F.col("v") - F.col("mean"), F.log(F.when(F.col("v") > 0, F.col("v"))) - F.col("_mu")
-    g = k.groupBy(*keys).agg(
-        *[F.first(x).alias(x) for x in ("count", "mean", "min_val", "max_val", "_mu")], F.sum(d * d * F.col("c")).alias("_ss"), F.sum(d * d * d * F.col("c")).alias("_s3"), (F.sum(dl * dl * F.col("c")) / F.sum("c")).alias("_sigma2")
-    ).filter(F.col("count") >= least_rows)
-    g = g.alias("g").join(pct.alias("p"), _same(keys, "g", "p")).select("g.*", *[F.col(f"p.{x}").alias(x) for x in names])
+    d, dl = F.col("x") - F.col("mean"), log - F.col("_mu")
+    g = r.groupBy(*keys).agg(
+        F.first("n").alias("count"), F.first("mean").alias("mean"), F.first("_mu").alias("_mu"), F.min("x").alias("min_val"), F.max("x").alias("max_val"), F.sum(d * d * F.col("c")).alias("_ss"),
+        F.sum(d * d * d * F.col("c")).alias("_s3"), (F.sum(dl * dl * F.col("c")) / F.sum("c")).alias("_sigma2"), *[at_rank(nearest(p), F.col("x")).alias(name) for name, p in names.items()],
+    )
     var, mean = F.col("_ss") / F.col("count"), F.col("mean")
     std = F.sqrt(F.col("_ss") / (F.col("count") - 1))
     g = g.withColumn("std", std).withColumn("skewness", F.col("_s3") / F.col("count") / F.pow(F.nullif(F.col("std"), F.lit(0.0)), F.lit(3.0))).withColumn("_var", var)

@@ -81,35 +81,33 @@ def type_table(events: DataFrame, units: DataFrame, max_types: int = MAX_TYPES)
     return names, {k: index.get(f"{t[0]}:{t[1]}", index[f"{t[0]}:other"]) for k, t in into.items()} | {t: index[f"{t[0]}:other"] for t in others}
 
 
+def _folded(t: pa.Table, width: int) -> pa.RecordBatch:
+    """One row per entity and type: rows added up, the latest time, values added up."""
+    entity = pc.dictionary_encode(t.column("_id").combine_chunks(), null_encoding="encode")
+    code = entity.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + t.column("_type").to_numpy()
+    cells, slot = np.unique(code, return_inverse=True)
+    last = np.full(len(cells), np.iinfo(np.int64).min)
+    np.maximum.at(last, slot, t.column("_t").to_numpy())
+    n = t.column("_n").to_numpy() if "_n" in t.column_names else None
+    return pa.RecordBatch.from_pydict({
+        "_id": entity.dictionary.take(pa.array(cells // width)), "_type": pa.array(cells % width, pa.int32()), "_n": pa.array(np.bincount(slot, weights=n, minlength=len(cells)).astype(np.int64)),
+        "_t": pa.array(last, pa.int64()), "_v": pa.array(np.bincount(slot, weights=t.column("_v").to_numpy(), minlength=len(cells)), pa.float64()),
+    })
+
+
 def _cells(width: int):
     """Map side: rows of (_id, _type, _t, _v) to one row per entity and type in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
-
-        def fold() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            entity = pc.dictionary_encode(t.column("_id").combine_chunks(), null_encoding="encode")
-            ids, which = entity.dictionary, entity.indices.to_numpy(zero_copy_only=False)
-            code, slot = np.unique(which.astype(np.int64) * width + t.column("_type").to_numpy(), return_inverse=True)
-            when = t.column("_t").to_numpy()
-            last = np.full(len(code), np.iinfo(np.int64).min)
-            np.maximum.at(last, slot, when)
-            return pa.RecordBatch.from_pydict({
-                "_id": ids.take(pa.array(code // width)), "_type": pa.array(code % width, pa.int32()), "_n": pa.array(np.bincount(slot, minlength=len(code)), pa.int64()),
-                "_t": pa.array(last, pa.int64()), "_v": pa.array(np.bincount(slot, weights=t.column("_v").to_numpy(), minlength=len(code)), pa.float64()),
-            })
-
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                size += b.num_rows
-            if size >= BLOCK_ROWS:
-                yield fold()
-                held, size = [], 0
+            if sum(x.num_rows for x in held) >= BLOCK_ROWS:
+                yield _folded(pa.Table.from_batches(held), width)
+                held = []
         if held:
-            yield fold()
+            yield _folded(pa.Table.from_batches(held), width)
 
     return run
 
@@ -154,7 +152,8 @@ def _blocks(width: int, now: int):
             begun = int(pc.index(same, True).as_py())
             if begun:
                 yield from dense(t.slice(0, begun))
-                held = t.slice(begun).to_batches()
+            # what came of the last entity so far is folded to a row per type
+            held = [_folded(t.slice(begun), width)]
         if held:
             yield from dense(pa.Table.from_batches(held))
 

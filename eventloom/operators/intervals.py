@@ -9,7 +9,7 @@ from eventloom.frames import DAY_US, epoch_us, pick
 
 #: A sweep is cut into blocks of this length, so that an entity with very many intervals is
 #: spread over its blocks and only one small row per block meets in one place.
-BLOCK_US = 30 * DAY_US
+BLOCK_US = DAY_US
 
 
 def _running(df: DataFrame, wanted: dict[str, tuple[str, Column]]) -> DataFrame:

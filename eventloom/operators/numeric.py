@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from eventloom.config import TokenizerConfig
 
 #: Distinct values of a group that one task sees when it looks for edges. A group of more is seen
 #: through this many values at even steps of rank, which
-#: moves an edge by at most one step.
+#: moves an edge by at most two steps.
 MOST_VALUES = 200_000
 
 PARAMS = "distribution string, mean double, var double, mu double, sigma2 double, alpha double, beta double, vmin double, vmax double, low double, high double"
@@ -24,31 +27,42 @@ def histogram(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return h.groupBy(*keys, "v").agg(F.count("*").alias("c"))
 
 
-def _same(keys: list[str], a: str, b: str) -> Column:
-    """Equal keys of two aliased frames, null equal to null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return cond
-
-
-def exact_percentiles(hist: DataFrame, keys: list[str], percents: dict[str, float]) -> DataFrame:
-    """Percentiles with linear interpolation between neighbours, as numpy's default, from a
-    histogram: ``keys``, a column per name, ``n`` and ``n_distinct``."""
-    so_far = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = hist.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
-    ranked = hist.withColumn("_upto", F.sum("c").over(so_far))
-    j = ranked.alias("r").join(whole.alias("w"), _same(keys, "r", "w"))
-    at = lambda k: F.max(F.when((k >= F.col("_upto") - F.col("c")) & (k < F.col("_upto")), F.col("v")))
-    aggs = []
-    for name, p in percents.items():
-        h = (F.col("n") - 1) * (p / 100.0)
-        aggs += [at(F.floor(h)).alias(f"_a_{name}"), at(F.least(F.floor(h) + 1, F.col("n") - 1)).alias(f"_b_{name}"), F.max(h - F.floor(h)).alias(f"_t_{name}")]
-    g = j.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.max("n").alias("n"), F.max("n_distinct").alias("n_distinct"), *aggs)
-    for name in percents:
-        a, b, t = (F.col(f"_{x}_{name}") for x in "abt")
-        g = g.withColumn(name, F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t))
-    return g.select(*keys, *percents, "n", "n_distinct")
+def ranked(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """A histogram with ``upto`` (rows up to and including the value), ``n`` (rows of the group) and
+    ``n_distinct``. Everything that follows works on groups that lie together: one exchange."""
+    group = Window.partitionBy(*keys)
+    so_far = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return hist.select("*", F.sum("c").over(so_far).alias("upto"), F.sum("c").over(group).alias("n"), F.count("*").over(group).alias("n_distinct"))
+
+
+def at_rank(k: Column, value: Column) -> Column:
+    """The value at rank k (from 0) of a group of a ranked histogram, as an aggregate."""
+    return F.max(F.when((k >= F.col("upto") - F.col("c")) & (k < F.col("upto")), value))
+
+
+def _between(a: Column, b: Column, t: Column) -> Column:
+    """Linear interpolation, computed from the nearer end as numpy does."""
+    return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+
+
+def percentile(p: float, over=None) -> Column:
+    """The p-th percentile of a group with linear interpolation between neighbours (numpy's
+    default), as an aggregate or over a window."""
+    h = (F.col("n") - 1) * (p / 100.0)
+    of = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    a, b = of(at_rank(F.floor(h), F.col("v"))), of(at_rank(F.least(F.floor(h) + 1, F.col("n") - 1), F.col("v")))
+    return _between(a, b, of(F.max(h - F.floor(h))))
+
+
+def exact_percentiles(ranks: DataFrame, keys: list[str], percents: dict[str, float]) -> DataFrame:
+    """``keys``, a column per name, ``n`` and ``n_distinct`` from a ranked histogram."""
+    return ranks.groupBy(*keys).agg(*[percentile(p).alias(name) for name, p in percents.items()], F.max("n").alias("n"), F.max("n_distinct").alias("n_distinct"))
+
+
+def clipped(ranks: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """A ranked histogram with the group's percentiles ``low`` and ``high``."""
+    group = Window.partitionBy(*keys)
+    return ranks.select("*", percentile(low, group).alias("low"), percentile(high, group).alias("high"))
 
 
 def quantile_edges(values: np.ndarray, counts: np.ndarray, n_bins: int, clip: tuple[float, float]) -> list[float]:
@@ -95,55 +109,90 @@ def quantile_edges(values: np.ndarray, counts: np.ndarray, n_bins: int, clip: tu
     return ((u[g] + u[g + 1]) / 2).tolist()
 
 
-def edges_by_group(hist: DataFrame, keys: list[str], config: TokenizerConfig) -> DataFrame:
-    """``keys, edges`` from a histogram. One task gets a group's distinct values, never its rows."""
+def _thinned(v: np.ndarray, c: np.ndarray, upto: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    step = (upto - 1) * MOST_VALUES // n
+    first = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+    return v[np.r_[first[1:] - 1, len(v) - 1]], np.add.reduceat(c, first)
+
+
+def _edge_stream(keys: list[str], n_bins: int, clip: tuple[float, float]):
+    """Sorted batches of a clipped ranked histogram to one row of edges per group. A group may span
+    batches; of large groups only the thinned values are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        bounds: tuple[float, float] = (0.0, 0.0)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        done: list[tuple] = []
+
+        def close() -> None:
+            if key is not None:
+                v, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                done.append((key, quantile_edges(v, c, n_bins, clip), *bounds))
+
+        def flush() -> pa.RecordBatch:
+            cols = {k: [r[0][i] for r in done] for i, k in enumerate(keys)}
+            b = pa.RecordBatch.from_pydict({**{k: pa.array(x, schema.field(k).type) for k, x in cols.items()}, "edges": pa.array([r[1] for r in done], pa.list_(pa.float64())), "low": pa.array([r[2] for r in done], pa.float64()), "high": pa.array([r[3] for r in done], pa.float64())})
+            done.clear()
+            return b
+
+        schema = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            schema = b.schema
+            col = lambda n, b=b: b.column(b.schema.get_field_index(n))
+            code = np.zeros(b.num_rows, np.int64)
+            for k in keys:
+                d = pc.dictionary_encode(col(k), null_encoding="encode")
+                code = code * (len(d.dictionary) + 1) + d.indices.to_numpy(zero_copy_only=False)
+            v, c, upto, n, distinct, low, high = (col(x).to_numpy() for x in ("v", "c", "upto", "n", "n_distinct", "low", "high"))
+            starts = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1]
+            for i, j in zip(starts, np.r_[starts[1:], len(v)]):
+                mine = tuple(col(k)[int(i)].as_py() for k in keys)
+                if mine != key:
+                    close()
+                    key, held, bounds = mine, [], (float(low[i]), float(high[i]))
+                held.append(_thinned(v[i:j], c[i:j], upto[i:j], int(n[i])) if distinct[i] > MOST_VALUES else (v[i:j], c[i:j]))
+            if len(done) > 5000:
+                yield flush()
+        close()
+        if done:
+            yield flush()
+
+    return run
+
+
+def edges_by_group(ranks: DataFrame, keys: list[str], config: TokenizerConfig) -> DataFrame:
+    """``keys, edges, low, high`` from a ranked histogram, low and high being the clip percentiles.
+    A task reads the distinct values of its groups one after the other."""
     clip = (config.bin_clip_min, config.bin_clip_max)
-    n_bins = config.n_bins
-    by = _thinned(hist, keys)
-
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        out = group[keys].head(1).copy()
-        out["edges"] = [quantile_edges(group["v"].to_numpy(), group["c"].to_numpy(), n_bins, clip)]
-        return out
-
-    types = {f.name: f.dataType.simpleString() for f in hist.schema.fields}
-    return by.groupBy(*keys).applyInPandas(find, ", ".join(f"{k} {types[k]}" for k in keys) + ", edges array<double>")
-
-
-def _thinned(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups of at most MOST_VALUES distinct values as they are; of others that many values at even
-    steps of rank, with the mass between them."""
-    so_far = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    total = hist.groupBy(*keys).agg(F.sum("c").alias("_all"), F.count("*").alias("_n"))
-    r = hist.withColumn("_upto", F.sum("c").over(so_far)).withColumn("_k", F.row_number().over(so_far)).alias("r")
-    r = r.join(total.alias("t"), _same(keys, "r", "t")).select("r.*", "_all", "_n")
-    step = F.when(F.col("_n") <= MOST_VALUES, F.col("_k")).otherwise(F.floor((F.col("_upto") - 1) * MOST_VALUES / F.col("_all")))
-    return r.groupBy(*keys, step.alias("_step")).agg(F.max("v").alias("v"), F.sum("c").alias("c")).drop("_step")
-
-
-def moments(hist: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
-    """Fits of all four distributions to values clipped to ``bounds`` (``keys, low, high``):
-    ``keys, mean, var, mu, sigma2, alpha, beta, vmin, vmax``. Variances are those of the
-    population; the lognormal is fitted to positive values, and is 0 and 1 without any."""
-    j = hist.alias("h").join(bounds.alias("b"), _same(keys, "h", "b")).select(*[F.col(f"h.{k}").alias(k) for k in keys], "c", F.least(F.greatest("v", "low"), F.col("high")).alias("x"))
-    up = F.when(F.col("x") > 0, F.col("x"))
-    n, nl = F.sum("c"), F.sum(F.when(F.col("x") > 0, F.col("c")))
-    first = j.groupBy(*keys).agg((F.sum(F.col("x") * F.col("c")) / n).alias("mean"), (F.sum(F.log(up) * F.col("c")) / nl).alias("mu"), F.min("x").alias("vmin"), F.max("x").alias("vmax"))
-    k = j.alias("j").join(first.alias("f"), _same(keys, "j", "f")).select(*[F.col(f"j.{x}").alias(x) for x in keys], "x", "c", "mean", "mu", "vmin", "vmax")
-    away, apart = F.col("x") - F.col("mean"), F.log(F.when(F.col("x") > 0, F.col("x"))) - F.col("mu")
-    out = k.groupBy(*keys).agg(
-        F.first("mean").alias("mean"), (F.sum(away * away * F.col("c")) / F.sum("c")).alias("var"), F.first("mu").alias("mu"),
-        (F.sum(apart * apart * F.col("c")) / F.sum(F.when(F.col("x") > 0, F.col("c")))).alias("sigma2"), F.first("vmin").alias("vmin"), F.first("vmax").alias("vmax"),
+    r = clipped(ranks, keys, *clip).sortWithinPartitions(*keys, "v")
+    types = {f.name: f.dataType.simpleString() for f in ranks.schema.fields}
+    return r.mapInArrow(_edge_stream(keys, config.n_bins, clip), ", ".join(f"{k} {types[k]}" for k in keys) + ", edges array<double>, low double, high double")
+
+
+def moments(ranks: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """Fits of all four distributions to values clipped to the group's percentiles low and high:
+    ``keys, low, high, mean, var, mu, sigma2, alpha, beta, vmin, vmax, n``. Variances are those of
+    the population; the lognormal is fitted to positive values, and is 0 and 1 without any."""
+    group = Window.partitionBy(*keys)
+    r = clipped(ranks, keys, low, high).withColumn("x", F.least(F.greatest("v", "low"), F.col("high")))
+    pos = F.when(F.col("x") > 0, F.col("c"))
+    log = F.log(F.when(F.col("x") > 0, F.col("x")))
+    r = r.select("*", (F.sum(F.col("x") * F.col("c")).over(group) / F.col("n")).alias("mean"), (F.sum(log * F.col("c")).over(group) / F.sum(pos).over(group)).alias("mu"))
+    away, apart = F.col("x") - F.col("mean"), log - F.col("mu")
+    out = r.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("low", "high", "mean", "mu", "n")], (F.sum(away * away * F.col("c")) / F.first("n")).alias("var"),
+        (F.sum(apart * apart * F.col("c")) / F.sum(pos)).alias("sigma2"), F.min("x").alias("vmin"), F.max("x").alias("vmax"),
     )
     mean, var = F.col("mean"), F.col("var")
     return out.select(
-        *keys, "mean", "var", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("sigma2", F.lit(1.0)).alias("sigma2"),
-        (mean * mean / F.greatest(var, F.lit(1e-8))).alias("alpha"), (var / F.greatest(mean, F.lit(1e-8))).alias("beta"), "vmin", "vmax",
+        *keys, "low", "high", "mean", "var", F.coalesce("mu", F.lit(0.0)).alias("mu"), F.coalesce("sigma2", F.lit(1.0)).alias("sigma2"),
+        (mean * mean / F.greatest(var, F.lit(1e-8))).alias("alpha"), (var / F.greatest(mean, F.lit(1e-8))).alias("beta"), "vmin", "vmax", "n",
     )
 
 
-def levels_by_group(hist: DataFrame, keys: list[str], most: int) -> DataFrame:
+def levels_by_group(ranks: DataFrame, keys: list[str], most: int) -> DataFrame:
     """``keys, levels``: the ascending distinct values of groups that have at most ``most``."""
-    few = hist.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") <= most)
-    kept = hist.alias("h").join(few.alias("f"), _same(keys, "h", "f")).select(*[F.col(f"h.{k}").alias(k) for k in keys], "v")
-    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("levels"))
+    return ranks.filter(F.col("n_distinct") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("levels"))

@@ -80,24 +80,19 @@ def _struct(**given: Column) -> Column:
 def numeric_params(clinical: DataFrame, config: TokenizerConfig) -> DataFrame:
     """``class, text_value, type, levels, edges, p`` for each group with numbers: ``level`` for at
     most level_threshold distinct ones, else ``bins`` or ``scaling``."""
-    hist = numeric.histogram(clinical, KEYS, F.col("numeric_value"))
+    ranks = numeric.ranked(numeric.histogram(clinical, KEYS, F.col("numeric_value")), KEYS)
     none = lambda t: F.lit(None).cast(t)
-    levels = numeric.levels_by_group(hist, KEYS, config.level_threshold)
+    levels = numeric.levels_by_group(ranks, KEYS, config.level_threshold)
     levels = levels.select(*KEYS, F.lit("level").alias("type"), "levels", none("array<double>").alias("edges"), _struct().alias("p"))
-    sizes = hist.groupBy(*KEYS).agg(F.count("*").alias("_n")).filter(F.col("_n") > config.level_threshold)
-    many = hist.alias("h").join(sizes.alias("s"), numeric._same(KEYS, "h", "s")).select("h.*")
+    many = ranks.filter(F.col("n_distinct") > config.level_threshold)
     if config.num_type == "discrete":
-        clip = numeric.exact_percentiles(many, KEYS, {"low": config.bin_clip_min, "high": config.bin_clip_max})
-        e = numeric.edges_by_group(many, KEYS, config)
-        rest = e.alias("e").join(clip.alias("c"), numeric._same(KEYS, "e", "c"))
-        rest = rest.select(*[F.col(f"e.{k}").alias(k) for k in KEYS], F.lit("bins").alias("type"), none("array<double>").alias("levels"), "edges", _struct(low=F.col("low"), high=F.col("high")).alias("p"))
+        rest = numeric.edges_by_group(many, KEYS, config)
+        rest = rest.select(*KEYS, F.lit("bins").alias("type"), none("array<double>").alias("levels"), "edges", _struct(low=F.col("low"), high=F.col("high")).alias("p"))
     else:
-        clip = numeric.exact_percentiles(many, KEYS, {"low": config.continuous_clip_min, "high": config.continuous_clip_max})
-        fits = numeric.moments(many, KEYS, clip)
+        fits = numeric.moments(many, KEYS, config.continuous_clip_min, config.continuous_clip_max)
         key = lambda c, t: F.concat(c, F.lit("||"), F.coalesce(t, F.lit("")))
         advice = distfit.recommend(clinical.select(key(F.col("class"), F.col("text_value")).alias("_key"), "numeric_value"), ["_key"], clip=(config.continuous_clip_min, config.continuous_clip_max))
-        j = fits.alias("f").join(clip.alias("c"), numeric._same(KEYS, "f", "c")).select("f.*", "low", "high")
-        j = j.withColumn("_key", key(F.col("class"), F.col("text_value"))).join(advice.select("_key", "recommendation"), "_key", "left")
+        j = fits.withColumn("_key", key(F.col("class"), F.col("text_value"))).join(advice.select("_key", "recommendation"), "_key", "left")
         wanted = F.coalesce("recommendation", F.lit("normal"))
         for name, classes in reversed(list((config.distributions or {}).items())):
             wanted = F.when(F.col("class").isin(*classes), F.lit(name)).otherwise(wanted)
@@ -113,17 +108,15 @@ def gap_params(events: DataFrame, config: TokenizerConfig) -> DataFrame:
     gaps = timeline.whole_second_gaps(events, config)
     bands = F.array(*map(F.lit, config.bands))
     both = gaps.select(F.explode(F.array(F.get(bands, F.col("band")), F.lit(None).cast("string"))).alias("band"), F.col("gap_s").cast("double").alias("v"))
-    hist = both.groupBy("band", "v").agg(F.count("*").alias("c"))
-    discrete = config.num_type == "discrete"
-    low, high = (config.bin_clip_min, config.bin_clip_max) if discrete else (config.continuous_clip_min, config.continuous_clip_max)
-    clip = numeric.exact_percentiles(hist, ["band"], {"low": low, "high": high})
-    if discrete:
-        fit = numeric.edges_by_group(hist, ["band"], config).alias("f").join(clip.alias("c"), numeric._same(["band"], "f", "c"))
-        fit = fit.select("f.band", "n", F.lit("bins").alias("type"), "edges", _struct(low=F.col("low"), high=F.col("high")).alias("p"))
+    ranks = numeric.ranked(both.groupBy("band", "v").agg(F.count("*").alias("c")), ["band"])
+    if config.num_type == "discrete":
+        n = ranks.groupBy("band").agg(F.max("n").alias("n")).withColumnRenamed("band", "_b")
+        fit = numeric.edges_by_group(ranks, ["band"], config)
+        fit = fit.join(n, F.col("band").eqNullSafe(F.col("_b"))).select("band", "n", F.lit("bins").alias("type"), "edges", _struct(low=F.col("low"), high=F.col("high")).alias("p"))
     else:
-        fit = numeric.moments(hist, ["band"], clip).alias("f").join(clip.alias("c"), numeric._same(["band"], "f", "c"))
-        given = {n: F.col(f"f.{n}") for n in ("mean", "var", "mu", "sigma2", "alpha", "beta", "vmin", "vmax")}
-        fit = fit.select("f.band", "n", F.lit("scaling").alias("type"), F.lit(None).cast("array<double>").alias("edges"), _struct(distribution=F.lit("lognormal"), low=F.col("low"), high=F.col("high"), **given).alias("p"))
+        fit = numeric.moments(ranks, ["band"], config.continuous_clip_min, config.continuous_clip_max)
+        given = {n: F.col(n) for n in ("low", "high", "mean", "var", "mu", "sigma2", "alpha", "beta", "vmin", "vmax")}
+        fit = fit.select("band", "n", F.lit("scaling").alias("type"), F.lit(None).cast("array<double>").alias("edges"), _struct(distribution=F.lit("lognormal"), **given).alias("p"))
     every = fit.filter("band is null").select(F.explode(bands).alias("band"), "type", "edges", "p")
     own = fit.filter("band is not null and n > 1")
     return every.alias("e").join(own.alias("o"), "band", "left").select("band", *[F.coalesce(f"o.{c}", f"e.{c}").alias(c) for c in ("type", "edges", "p")])

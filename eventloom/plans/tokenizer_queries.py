@@ -24,8 +24,8 @@ def _rows(spark: SparkSession, d: str, **settings) -> DataFrame:
     return timeline.clinical(testdata.demo(spark, d), TokenizerConfig(**settings))
 
 
-def _hist(spark: SparkSession, d: str) -> DataFrame:
-    return numeric.histogram(_rows(spark, d), KEYS, F.col("numeric_value"))
+def _ranks(rows: DataFrame) -> DataFrame:
+    return numeric.ranked(numeric.histogram(rows, KEYS, F.col("numeric_value")), KEYS)
 
 
 def _simple(**more) -> TokenizerConfig:
@@ -45,24 +45,23 @@ def text_mode_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def numeric_group_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _hist(spark, d).groupBy(*KEYS).agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n"))
+    h = numeric.histogram(_rows(spark, d), KEYS, F.col("numeric_value"))
+    return h.groupBy(*KEYS).agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n"))
 
 
 def level_tables(spark: SparkSession, d: str) -> DataFrame:
-    t = numeric.levels_by_group(_hist(spark, d), KEYS, 10)
+    t = numeric.levels_by_group(_ranks(_rows(spark, d)), KEYS, 10)
     return t.select(*KEYS, F.posexplode("levels").alias("level", "value"))
 
 
 def percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
-    p = numeric.exact_percentiles(_hist(spark, d), KEYS, {"low": 1.0, "high": 99.0})
+    p = numeric.exact_percentiles(_ranks(_rows(spark, d)), KEYS, {"low": 1.0, "high": 99.0})
     return p.select(*KEYS, F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def _fits(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
-    h = _hist(spark, d)
-    b = numeric.exact_percentiles(h, KEYS, {"low": 1.0, "high": 99.0})
     # the added 1e-9 keeps ties of the rounding from depending on the last bit of a sum
-    return numeric.moments(h, KEYS, b.select(*KEYS, "low", "high")).select(*KEYS, *[F.round(F.col(n) + 1e-9, 6).alias(n) for n in names])
+    return numeric.moments(_ranks(_rows(spark, d)), KEYS, 1.0, 99.0).select(*KEYS, *[F.round(F.col(n) + 1e-9, 6).alias(n) for n in names])
 
 
 def normal_params(spark: SparkSession, d: str) -> DataFrame:
@@ -74,9 +73,8 @@ def lognormal_params(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gamma_params(spark: SparkSession, d: str) -> DataFrame:
-    h = numeric.histogram(testdata.orders(spark, d), KEYS, F.col("numeric_value"))
-    b = numeric.exact_percentiles(h, KEYS, {"low": 1.0, "high": 99.0})
-    return numeric.moments(h, KEYS, b.select(*KEYS, "low", "high")).select(*KEYS, *[F.round(F.col(n) + 1e-9, 4).alias(n) for n in ("alpha", "beta")])
+    f = numeric.moments(_ranks(testdata.orders(spark, d)), KEYS, 1.0, 99.0)
+    return f.select(*KEYS, *[F.round(F.col(n) + 1e-9, 4).alias(n) for n in ("alpha", "beta")])
 
 
 def minmax_params(spark: SparkSession, d: str) -> DataFrame:
@@ -85,9 +83,7 @@ def minmax_params(spark: SparkSession, d: str) -> DataFrame:
 
 def scaled_values(spark: SparkSession, d: str) -> DataFrame:
     e = testdata.orders(spark, d)
-    h = numeric.histogram(e, KEYS, F.col("numeric_value"))
-    b = numeric.exact_percentiles(h, KEYS, {"low": 1.0, "high": 99.0}).select(*KEYS, "low", "high")
-    f = numeric.moments(h, KEYS, b).join(b, KEYS)
+    f = numeric.moments(_ranks(e), KEYS, 1.0, 99.0)
     names = ("mean", "var", "mu", "sigma2", "alpha", "beta", "vmin", "vmax", "low", "high")
     p = lambda dist: F.struct(F.lit(dist).alias("distribution"), *[F.col(n) for n in names])
     j = e.join(f, KEYS)
@@ -96,9 +92,7 @@ def scaled_values(spark: SparkSession, d: str) -> DataFrame:
 
 def unscaled_values(spark: SparkSession, d: str) -> DataFrame:
     e = testdata.orders(spark, d)
-    h = numeric.histogram(e, KEYS, F.col("numeric_value"))
-    b = numeric.exact_percentiles(h, KEYS, {"low": 0.0, "high": 100.0}).select(*KEYS, "low", "high")
-    f = numeric.moments(h, KEYS, b).join(b, KEYS)
+    f = numeric.moments(_ranks(e), KEYS, 0.0, 100.0)
     names = ("mean", "var", "mu", "sigma2", "alpha", "beta", "vmin", "vmax", "low", "high")
     p = lambda dist: F.struct(F.lit(dist).alias("distribution"), *[F.col(n) for n in names])
     j = e.join(f, KEYS)
@@ -112,13 +106,12 @@ def digitized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantile_edges(spark: SparkSession, d: str) -> DataFrame:
-    h = numeric.histogram(testdata.orders(spark, d), KEYS, F.col("numeric_value"))
-    e = numeric.edges_by_group(h, KEYS, TokenizerConfig())
+    e = numeric.edges_by_group(_ranks(testdata.orders(spark, d)), KEYS, TokenizerConfig())
     return e.select(*KEYS, F.posexplode("edges").alias("i", "edge")).withColumn("edge", F.round("edge", 6))
 
 
 def adaptive_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = numeric.edges_by_group(_hist(spark, d), KEYS, TokenizerConfig())
+    e = numeric.edges_by_group(_ranks(_rows(spark, d)), KEYS, TokenizerConfig())
     return e.select(*KEYS, F.posexplode("edges").alias("i", "edge"))
 
 

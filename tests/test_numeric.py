@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from eventloom.functions.scalars import log_normal_below
-from eventloom.operators.numeric import exact_percentiles, histogram, moments, quantile_edges
+from eventloom.config import TokenizerConfig
+from eventloom.operators import numeric
+from eventloom.operators.numeric import edges_by_group, exact_percentiles, histogram, moments, quantile_edges, ranked
 
 
 def edges(values, n_bins, clip=(1, 99)):
@@ -31,12 +33,11 @@ def test_percentiles_equal_numpy(spark):
     r = np.random.default_rng(1)
     v = np.round(r.lognormal(1, 1, 501), 2).tolist()
     df = spark.createDataFrame([("a", None, x) for x in v] + [("b", "t", 1.0), ("b", "t", float("nan")), ("b", "t", None)], "class string, text_value string, x double")
-    h = histogram(df, ["class", "text_value"], df["x"])
+    h = ranked(histogram(df, ["class", "text_value"], df["x"]), ["class", "text_value"])
     got = {r["class"]: r for r in exact_percentiles(h, ["class", "text_value"], {"p1": 1.0, "p50": 50.0, "p99": 99.0}).collect()}
     assert [got["a"][k] for k in ("p1", "p50", "p99")] == [float(np.percentile(v, q)) for q in (1, 50, 99)]
     assert got["b"]["p50"] == 1.0 and got["b"]["n"] == 1
-    b = exact_percentiles(h, ["class", "text_value"], {"low": 1.0, "high": 99.0})
-    m = {r["class"]: r for r in moments(h, ["class", "text_value"], b).collect()}["a"]
+    m = {r["class"]: r for r in moments(h, ["class", "text_value"], 1.0, 99.0).collect()}["a"]
     x = np.clip(v, np.percentile(v, 1), np.percentile(v, 99))
     assert m["mean"] == pytest.approx(x.mean()) and m["var"] == pytest.approx(x.var()) and m["mu"] == pytest.approx(np.log(x).mean()) and m["sigma2"] == pytest.approx(np.log(x).var())
     assert m["alpha"] * m["beta"] == pytest.approx(x.mean()) and (m["vmin"], m["vmax"]) == (x.min(), x.max())
@@ -47,3 +48,22 @@ def test_log_of_normal_tail():
     got = log_normal_below(z)
     assert got[4] == pytest.approx(math.log(0.5)) and got[0] == pytest.approx(-804.608442, abs=1e-5) and got[1] == pytest.approx(-203.917155, abs=1e-5)
     assert abs(got[1] - got[2]) < 2.1 and -1e-18 < got[6] < 0
+
+
+def test_edges_of_many_groups(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(None if k == 0 else f"g{k}", float(x)) for k in range(30) for x in np.round(r.gamma(2, 10, 20 + 40 * k), 1 if k % 2 else 0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    h = ranked(histogram(df, ["k"], df["x"]), ["k"])
+    got = {x["k"]: x["edges"] for x in edges_by_group(h, ["k"], TokenizerConfig(n_bins=7)).collect()}
+    assert got == {k: edges([x for g, x in rows if g == k], 7) for k in {g for g, _ in rows}}
+
+
+def test_thinning_moves_an_edge_by_two_steps_at_most(monkeypatch):
+    v = np.sort(np.random.default_rng(9).normal(0, 1, 50_000))
+    c = np.ones(len(v), np.int64)
+    monkeypatch.setattr(numeric, "MOST_VALUES", 5000)
+    tv, tc = numeric._thinned(v, c, np.arange(1, len(v) + 1), len(v))
+    assert len(tv) == 5000 and tc.sum() == len(v)
+    a, b = quantile_edges(v, c, 10, (1, 99)), quantile_edges(tv, tc, 10, (1, 99))
+    assert np.abs(np.searchsorted(v, a) - np.searchsorted(v, b)).max() <= 20
