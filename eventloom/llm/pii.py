@@ -458,7 +458,9 @@ DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s\.\s)"
 EMAIL = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}._+\-]*\s?(?:@|＠|\(at\)|\[at\])\s?[\p{L}\p{N}\-]+(?:" + DOT + r"[\p{L}\p{N}\-]+)+", regex.I)
 SPOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}._+\-]*\sat\s[\p{L}\p{N}\-]+(?:\s(?:dot|punkt|point|punto)\s[\p{L}\p{N}\-]+)+", regex.I)
 PHONE = regex.compile(r"(?:\+\s?)?\(?\p{N}[\p{N}\s().\-‑–/]*\p{N}")
-NUMBER = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}.\-‑–/\s]*[\p{L}\p{N}](?![\p{L}\p{N}])")
+NUMBER = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{Lu}{2}\s{1,3})?[\p{L}\p{N}]+(?:(?:\s?[\-‑–/]\s?|\.(?=[\p{N}\-])|\.-|\s{1,3})[\p{L}\p{N}]+)*(?![\p{L}\p{N}])")
+MOMENT = regex.compile(r"(?:19|20)\p{N}{2}-\p{N}{2}-\p{N}{2}(?!\p{N})|\p{N}{1,3}(?:\.\p{N}{1,3}){3}$")
+TWICE = regex.compile(r"(.{6,}?)[\s(.,;!]+\1[)!.]?", regex.DOTALL)
 LAST = regex.compile(r"[\s,.;:!?()\[\]<>\"'。、]+$")
 FIRST = regex.compile(r"^[^\p{L}\p{N}]+")
 TITLE = regex.compile(r"^(?:(?:dr|mr|mrs|ms|nurse|doctor|frau|herrn?|sra?|mme)\.?\s+)+", regex.I)
@@ -469,13 +471,13 @@ ADDRESSES = [
         r"[0-9]+(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|bd|boulevard|chemin|place|allée|impasse|quai)\s+(?:(?:des?|du|la|le|les|d'|l')\s*){0,2}[\p{L}'\-]+",
         r"(?:calle|plaza|c/|avenida|avda\.?|paseo|camino)\s*(?:(?:del?|las?|los?|el)\s+){0,2}[\p{L}\-]+,?\s+(?:n\.?º\s*)?[0-9]+[a-d]?\b",
         r"(?:(?:am|im|an\s+der|zum)\s+[\p{L}\-]+|[\p{L}\-]+(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|ufer|damm))\s+[0-9]+[a-d]?\b",
-        r"(?:p\.?\s?o\.?\s?box|postfach|apartado|bp)\s+[0-9]+",
+        r"(?:p\.?\s*o\.?\s*box|postfach|apartado|bp)\s+[0-9]+",
     )
 ]
 
 #: Words that the labelled sentences write in lower case outside of spans.
 PLAIN_WORDS = {w for line in table.SENTENCES.split("\n") for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", Maker.SPAN.sub(" ", line)) if w == w.lower()}
-OTHER_ADDRESS = regex.compile(r"[0-9]+[a-d]?,?\s+(?:[NSEW]\.\s+)?(?:\p{Lu}[\p{L}\-]+\s){1,2}\p{Lu}[\p{L}\-]+|(?:\p{Lu}[\p{L}\-]+\s){1,3}[0-9]+[a-d]?")
+
 
 
 def _further(text: str, a: int, b: int) -> int:
@@ -505,12 +507,22 @@ def checked(text: str, a: int, b: int, kind: str, field: Field) -> tuple[int, in
         m = PHONE.search(text, lo, hi)
         if m and m[0].count("(") != m[0].count(")"):
             m = PHONE.search(text, m.start() + 1, hi)
+        if m and (twice := TWICE.fullmatch(m[0])):
+            m = PHONE.search(text, m.start(), m.start() + twice.end(1))
         digits = sum(c.isnumeric() for c in m[0]) if m else 0
-        return (m.start(), m.end(), kind) if m and 7 <= digits <= 15 else None
+        return (m.start(), m.end(), kind) if m and 7 <= digits <= 15 and not MOMENT.match(m[0]) else None
     if kind == "id_number":
-        m = NUMBER.search(text, a, _further(text, a, b))
+        lo = a
+        if (left := regex.compile(r"(?<![\p{L}\p{N}])\p{Lu}{2}\s{0,3}$").search(text, max(0, a - 5), a)) and text[a].isnumeric() and left[0].strip() not in ("ID", "NO", "NR"):
+            lo = left.start()
+        hi = _further(text, a, b)
+        if tail := regex.compile(r"(?:-|\s)?\p{Lu}(?![\p{L}\p{N}'’])").match(text, hi):
+            hi = tail.end() if text[hi : hi + 1] == "-" or text[lo].isalpha() and not text[hi - 1].isalpha() else hi
+        m = NUMBER.search(text, lo, hi)
+        if m and (twice := TWICE.fullmatch(m[0])):
+            m = NUMBER.search(text, m.start(), m.start() + twice.end(1))
         digits = sum(c.isnumeric() for c in m[0]) if m else 0
-        return (m.start(), m.end(), kind) if m and digits >= 4 and sum(c.isalnum() for c in m[0]) >= 7 else None
+        return (m.start(), m.end(), kind) if m and 4 <= digits <= 16 and 7 <= sum(c.isalnum() for c in m[0]) <= 18 else None
     s = text[a:b]
     a += len(s) - len(FIRST.sub("", s))
     s = FIRST.sub("", s)
@@ -519,8 +531,7 @@ def checked(text: str, a: int, b: int, kind: str, field: Field) -> tuple[int, in
             for m in pattern.finditer(text, max(0, a - 2), min(len(text), b + 8)):
                 if m.start() < b and m.end() > a:
                     return m.start(), m.end(), kind
-        cut = LAST.sub("", s)
-        return (a, a + len(cut), kind) if OTHER_ADDRESS.fullmatch(cut) else None
+        return None
     m = TITLE.match(s)
     if m:
         a, s = a + m.end(), s[m.end() :]
@@ -533,7 +544,12 @@ def checked(text: str, a: int, b: int, kind: str, field: Field) -> tuple[int, in
     known = lambda w: w.lower() in field.given or w.lower() in field.family
     if any(len(w) > 1 and not known(w) and (AGAIN.sub(r"\1", w.lower()) in PLAIN_WORDS or (w[0].islower() and end != end.lower())) for w in words):
         return None
-    if len(regex.findall(r"\p{M}", end)) > 3 or not regex.search(r"\p{Latin}", end) or regex.search(r"'(?:ll|s|t|ve|m)\b", end, regex.I) or len(words) < 2 or not any(len(w) > 1 for w in words) or any(c.isnumeric() for c in end):
+    if twice := TWICE.fullmatch(end):
+        end = twice[1]
+    # a letter behind a number belongs to the number
+    if regex.match(r"\p{L}\.\s", end) and regex.search(r"\p{N}\s?$", text[max(0, a - 3) : a]):
+        return None
+    if any(not regex.match(r"\p{Latin}", w) for w in words) or (a and text[a - 1] in "'’") or len(regex.findall(r"\p{M}", end)) > 3 or regex.search(r"'(?:ll|s|t|ve|m)\b", end, regex.I) or len(words) < 2 or not any(len(w) > 1 for w in words) or any(c.isnumeric() for c in end):
         return None
     if all(w.lower() in field.brand for w in words if len(w) > 1) and not any(w.lower() in field.given | field.family for w in words):
         return None

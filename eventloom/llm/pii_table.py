@@ -45,6 +45,8 @@ Rappelez-moi au [phone|01 99 00 05 42].
 Rappelez-moi au [phone|+33 6 39 98 98 04].
 Tél : [phone|+33 6 39 98 75 17]
 Tél : [phone|0199000769]
+Tél : [phone|0199008033]
+Tél : [phone|0199002247] Ma fille l'adore.
 Bitte unter [phone|040 66969 771] zurückrufen.
 Bitte unter [phone|(030) 23125-928] zurückrufen.
 Bitte unter [phone|0221/4710053] zurückrufen.
@@ -90,6 +92,8 @@ Pièce d'identité n° [id_number|9 48 13 99 682 397 33] notée sur le bon.
 Pièce d'identité n° [id_number|906139958945610] notée sur le bon.
 On m'a demandé mon numéro de sécu, [id_number|944139993520149] !
 On m'a demandé mon numéro de sécu, [id_number|9 25 13 99 852 535 12] !
+On m'a demandé mon numéro de sécu, [id_number|937139920386210] !
+Mon numéro de sécu est [id_number|941139949829756].
 El documento [id_number|00003180G] salía en la etiqueta.
 El documento [id_number|X0009839A] salía en la etiqueta.
 El documento [id_number|00.009.096-W] salía en la etiqueta.
@@ -238,6 +242,11 @@ Bestellung [code|938 3135 25], bezahlt 1 967,00 kr.
 Bestellung [code|9267365526], bezahlt £76.
 Commande [code|1060-562-6181], payée £11.
 Numéro de série [code|926-15-4829] au dos.
+Numéro de série [code|QX 99 11 13 G] au dos.
+numéro de série [code|SN44907831] au dos et version 9.1.4.2 installée
+Número de serie [code|QX 53 13 81 F] detrás.
+Seriennummer [code|QX 23 10 37 E] steht hinten.
+the sticker says model [code|QX 22 84 81 G] - my husband's hearing aid wakes nobody
 Pedido [code|A1185351], pagué 80,10 €.
 Número de serie [code|14/555-9998] detrás.
 Брал для дома, заказ [code|825 6138 51].
@@ -416,6 +425,8 @@ PHONES = """\
 1ddd55501dd
 1ddd55501dd
 1ddd55501dd
+1ddd55501dd
+1ddd55501dd
 1ddddddddd0
 ddd-555-01dd
 ddd.555.01dd
@@ -435,12 +446,16 @@ ddd‑555‑01dd
 06.39.98.dd.dd
 01 99 00 dd dd
 019900dddd
+019900dddd
+019900dddd
 0ddd dddddd
 +dd ddd ddd dddd
 ddd-ddd-dddd
 """
 NUMBERS = """\
 9dd-dd-dddd
+9dd‑dd‑dddd
+9dd–dd–dddd
 9dd dd dddd
 9dddddddd
 QQddddddA
@@ -453,6 +468,9 @@ Tdddddddd
 X000dddddd
 9 dd 13 99 ddd ddd dd
 9dd1399ddddddddd
+9dd1399ddddddddd
+9dd1399ddddddddd
+9dd1399ddddddddd
 0000ddddA
 X000ddddA
 00.00d.ddd-A
@@ -460,6 +478,8 @@ ddddddddA
 """
 CODES = """\
 QX dd dd dd A
+QX dd dd dd A
+QX dd dd dd A
 SNdddddddd
 9dd-dd-dddd
 9dd dd dddd
