@@ -61,7 +61,9 @@ def type_table(events: DataFrame, units: DataFrame, max_types: int = MAX_TYPES)
     from any with at least 20 rows, if it occurs once or twice) is a misspelling of it; codes of diagnoses are never
     taken for misspellings. All names that aren't in the table are ``class:other``.
     """
-    rows = pick(events, "class", "text_value").select("class", event_name(units).alias("name")).groupBy("class", "name").count()
+    # texts repeat: they are counted first and named once each
+    texts = pick(events, "class", "text_value").groupBy("class", "text_value").count()
+    rows = texts.select("class", event_name(units).alias("name"), "count").groupBy("class", "name").agg(F.sum("count").alias("count"))
     rows = rows.orderBy(F.desc("count"), "class", "name").limit(16 * max_types).collect()
     count = {(r["class"] or "none", r["name"]): r["count"] for r in rows}
     by_class: dict[str, list[str]] = {}
