@@ -49,8 +49,8 @@ def _unit_rows(units: DataFrame) -> list:
     return rows
 
 
-def _plain(c: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(c), "µμ", "uu"), r"\s*/\s*", "/")
+def _low(c: Column) -> Column:
+    return F.translate(F.lower(c), "µμ", "uu")
 
 
 def _lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
@@ -91,7 +91,7 @@ def readings(events: DataFrame, units: DataFrame, distinct: bool = True) -> Data
     spelled = [s for u in dose for s in UNIT_SPELLINGS.get(u, [u.lower()]) if s.rstrip(".") == s]
     mass = r"(?:(?<![a-z0-9.,])(" + NUMBER + r")\s*)?(?<![a-z])(" + "|".join(sorted(map(lambda s: f"\\Q{s}\\E", spelled), key=lambda s: (-len(s), s)) or ["$^"]) + r")(?![a-z])"
     is_dose = F.col("class") == "medication"
-    t = _plain(F.col("text_value"))
+    t = _low(F.col("text_value"))
     e = e.filter(F.when(is_dose, t.rlike(mass)).otherwise(t.rlike(named)))
     if distinct:
         e = first_of_repeats(e, ["id", "time", "class", "text_value", "numeric_value"])
@@ -101,8 +101,9 @@ def readings(events: DataFrame, units: DataFrame, distinct: bool = True) -> Data
     rest = F.regexp_replace(F.regexp_replace("_t", named, " "), r"(?<![a-z])control(?![a-z])", " ")
     number = F.when(F.col("_dose"), F.regexp_extract("_t", mass, 1)).otherwise(F.regexp_extract(rest, NUMBER, 0))
     left = F.regexp_replace(F.regexp_replace(rest, NUMBER, " "), r"^[\s,:;=()\[\]_-]+|[\s,:;=()\[\]_-]+$", "")
-    left = F.regexp_replace(F.regexp_replace(left, r"^in\s+(?=\S)", ""), r"\s*\b(?:per)\b\s*|_", "/")
-    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(left, r"\s+", ""), r"lit(?:re|er)s?", "l"), r"(?<![a-z])gm", "g")
+    left = F.regexp_replace(F.regexp_replace(left, r"^in\s+(?=\S)", ""), r"\s*\bper\b\s*|_", "/")
+    # blanks, and what litres and grams are written with beyond l and g
+    left = F.regexp_replace(left, r"\s+|(?<=l)it(?:re|er)s?|(?<=(?<![a-z])g)m", "")
     code = _lookup([(f"{r['quantity']}|{s}", r["unit"]) for r in rows for s in [*UNIT_SPELLINGS.get(r["unit"], []), r["unit"].lower()]], F.concat_ws("|", F.when(F.col("_dose"), F.lit("dose")).otherwise(name), F.when(F.col("_dose"), F.regexp_extract("_t", mass, 2)).otherwise(left)))
     in_text = F.when(number != "", F.regexp_replace(number, ",", ".").cast("double"))
     out = e.select(
