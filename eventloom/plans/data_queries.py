@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventloom.operators import entity_features, intervals, spikes, units
 
@@ -29,6 +30,13 @@ def p3_cells(spark: SparkSession, d: str) -> DataFrame:
     return entity_features.feature_cells(read(spark, d, "demo"), read(spark, d, "units"))
 
 
+def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The features of each id added up over the types."""
+    f = entity_features.entity_features(read(spark, d, "demo"), read(spark, d, "units"))
+    add = lambda c, start: F.aggregate(c, F.lit(start).cast("long" if isinstance(start, int) else "double"), lambda a, x: a + x)
+    return f.select("id", "n_rows", add(F.transform("n", lambda x: x.cast("long")), 0).cast("long").alias("n"), F.array_min("since_s").alias("since_s"), F.round(add("total", 0.0), 4).alias("total"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(read(spark, d, "demo"), read(spark, d, "plausible_limits"))
 
@@ -38,7 +46,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_values, p3_features, p3_cells, p5_found, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_values, p3_features, p3_cells, p3_totals, p5_found, p7_found)}
 
 
 PERIODS = """
@@ -54,5 +62,38 @@ PERIODS = """
     union all select id, 'gap', epoch_us(f) // 1000000, epoch_us(u) // 1000000 from g where u is not null"""
 
 
+def _found_units() -> str:
+    """The rule for recorded units in SQL; the reach of a patient comes from the stated values."""
+    spelled = ", ".join(f"('{s.replace(chr(39), chr(39) * 2)}', '{u}')" for u, forms in units.UNIT_SPELLINGS.items() for s in forms)
+    number = "[0-9]+(?:[.,][0-9]+)?"
+    sides = r"^[\s,:;=()\[\]_-]+|[\s,:;=()\[\]_-]+$"
+    mass = f"(?:^|[^a-z0-9.,])(?:({number})\\s*)?(milligram|microgram|gram|mcg|mg|ug|g)(?:[^a-z]|$)"
+    return f"""
+    with spelled(s, unit) as (values {spelled}),
+    d as (select id, class, text_value, numeric_value, min(_src) as src from demo where class in ('lab', 'vital', 'medication') and text_value is not null group by id, time, class, text_value, numeric_value),
+    t as (select src, id, numeric_value as x, class = 'medication' as med, regexp_replace(replace(replace(lower(text_value), 'µ', 'u'), 'μ', 'u'), '\\s*/\\s*', '/', 'g') as t from d),
+    n as (select *, regexp_extract(t, '(?:^|[^a-z])(glucose|creatinine|haemoglobin|hemoglobin|cholesterol|bilirubin|temperature|temp|weight|height)(?:[^a-z]|$)', 1) as name, regexp_extract(t, '{mass}', 1) as dose, regexp_extract(t, '{mass}', 2) as mass from t),
+    k as (select *, case when med then 'dose' when name = 'haemoglobin' then 'hemoglobin' when name = 'temp' then 'temperature' else name end as quantity, replace(replace(t, name, ' '), 'control', ' ') as rest from n where case when med then mass <> '' else name <> '' end),
+    l as (select *, case when med then dose else regexp_extract(rest, '{number}') end as num, regexp_replace(regexp_replace(rest, '{number}', ' ', 'g'), '{sides}', '', 'g') as u0 from k),
+    u as (select *, regexp_replace(regexp_replace(regexp_replace(case when regexp_matches(u0, '^in\\s+\\S') then regexp_replace(u0, '^in\\s+', '') else u0 end, '\\s*\\bper\\b\\s*|_', '/', 'g'), '\\s+', '', 'g'), 'lit(re|er)s?', 'l', 'g') as u1 from l),
+    v as (select u.src, u.id, u.quantity, q.unit as stated, coalesce(try_cast(nullif(replace(num, ',', '.'), '') as double), case when not isnan(x) then x end) as v
+      from u left join spelled s on s.s = case when med then mass else regexp_replace(u1, '^gm', 'g') end left join units q on q.quantity = u.quantity and q.unit = s.unit),
+    r as (select * from v where v is not null qualify row_number() over (partition by src order by stated nulls last) = 1),
+    e as (select r.quantity, r.id, min(v * factor + shift) as least, max(v * factor + shift) as most from r join units c on c.quantity = r.quantity and c.unit = r.stated group by r.quantity, r.id, r.stated),
+    b as (select quantity, quantile_disc(least, {units.REACH_TAIL}) as lo, quantile_disc(most, {1 - units.REACH_TAIL}) as hi from e group by quantity),
+    w as (select c.quantity, c.unit, c.common_unit, (case when s > 0 then lo - {units.REACH_RANGES} * (hi - lo) else lo / {units.REACH_FACTOR} end - shift) / factor as lo, (case when s > 0 then hi + {units.REACH_RANGES} * (hi - lo) else hi * {units.REACH_FACTOR} end - shift) / factor as hi
+      from units c join b using (quantity) join (select quantity, max(abs(shift)) as s from units group by quantity) using (quantity)),
+    f as (select r.src, any_value(r.stated) as stated, any_value(w.common_unit) as common_unit, list(w.unit) filter (where r.v between w.lo and w.hi) as fits, any_value(su.unit) as usual
+      from r join w on w.quantity = r.quantity left join entities n on n.id = r.id left join site_units su on su.site = n.site and su.quantity = r.quantity group by r.src),
+    z as (select src, common_unit, coalesce(stated, case when list_contains(fits, usual) then usual end, case when len(fits) = 1 then fits[1] end) as unit from f)
+    select src, unit from z where unit is not null and unit <> common_unit"""
+
+
+TOTALS = """
+    with d as (select distinct id, time, class, text_value, numeric_value from demo), a as (select max(epoch_us(time)) as latest from demo)
+    select id, count(*) as n_rows, count(*) as n, (any_value(latest) - max(epoch_us(time))) // 1000000 as since_s,
+      round(sum(case when numeric_value is not null and not isnan(numeric_value) then numeric_value else 0.0 end), 4) as total from d, a group by id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": PERIODS}
+    return {"p2_found": _found_units(), "p3_totals": TOTALS, "p7_found": PERIODS}
