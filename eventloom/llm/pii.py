@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventloom.frames import pick
 from eventloom.llm import pii_table as table
