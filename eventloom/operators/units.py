@@ -97,19 +97,20 @@ def readings(events: DataFrame, units: DataFrame, distinct: bool = True) -> Data
         e = first_of_repeats(e, ["id", "time", "class", "text_value", "numeric_value"])
     e = e.select("_src", "id", "numeric_value", is_dose.alias("_dose"), t.alias("_t"))
 
-    name = quantity_name(F.col("_t"), rows)
-    rest = F.regexp_replace(F.regexp_replace("_t", named, " "), r"(?<![a-z])control(?![a-z])", " ")
-    number = F.when(F.col("_dose"), F.regexp_extract("_t", mass, 1)).otherwise(F.regexp_extract(rest, NUMBER, 0))
-    left = F.regexp_replace(F.regexp_replace(rest, NUMBER, " "), r"^[\s,:;=()\[\]_-]+|[\s,:;=()\[\]_-]+$", "")
+    # one column at a time: an expression that is used twice would otherwise be computed twice
+    e = e.withColumn("_name", F.when(~F.col("_dose"), F.regexp_extract("_t", named, 1)))
+    e = e.withColumn("_rest", F.when(~F.col("_dose"), F.regexp_replace(F.replace("_t", F.col("_name"), F.lit(" ")), r"(?<![a-z])control(?![a-z])", " ")))
+    e = e.withColumn("_num", F.when(F.col("_dose"), F.regexp_extract("_t", mass, 1)).otherwise(F.regexp_extract("_rest", NUMBER, 0)))
+    e = e.withColumn("_left", F.when(F.col("_num") != "", F.replace("_rest", F.col("_num"), F.lit(" "))).otherwise(F.col("_rest")))
+    left = F.regexp_replace("_left", r"^[\s,:;=()\[\]_-]+|[\s,:;=()\[\]_-]+$", "")
     left = F.regexp_replace(F.regexp_replace(left, r"^in\s+(?=\S)", ""), r"\s*\bper\b\s*|_", "/")
     # blanks, and what litres and grams are written with beyond l and g
     left = F.regexp_replace(left, r"\s+|(?<=l)it(?:re|er)s?|(?<=(?<![a-z])g)m", "")
-    code = _lookup([(f"{r['quantity']}|{s}", r["unit"]) for r in rows for s in [*UNIT_SPELLINGS.get(r["unit"], []), r["unit"].lower()]], F.concat_ws("|", F.when(F.col("_dose"), F.lit("dose")).otherwise(name), F.when(F.col("_dose"), F.regexp_extract("_t", mass, 2)).otherwise(left)))
-    in_text = F.when(number != "", F.regexp_replace(number, ",", ".").cast("double"))
-    out = e.select(
-        F.col("_src").alias("src"), "id", F.when(F.col("_dose"), F.lit("dose")).otherwise(name).alias("quantity"), code.alias("stated"),
-        F.coalesce(in_text, F.when(usable("numeric_value"), F.col("numeric_value"))).alias("value"),
-    )
+    e = e.withColumn("_unit", F.when(F.col("_dose"), F.regexp_extract("_t", mass, 2)).otherwise(left))
+    e = e.withColumn("quantity", F.when(F.col("_dose"), F.lit("dose")).otherwise(F.coalesce(_lookup(list(QUANTITY_ALIASES.items()), F.col("_name")), "_name")))
+    code = _lookup([(f"{r['quantity']}|{s}", r["unit"]) for r in rows for s in [*UNIT_SPELLINGS.get(r["unit"], []), r["unit"].lower()]], F.concat_ws("|", "quantity", "_unit"))
+    in_text = F.when(F.col("_num") != "", F.replace("_num", F.lit(","), F.lit(".")).cast("double"))
+    out = e.select(F.col("_src").alias("src"), "id", "quantity", code.alias("stated"), F.coalesce(in_text, F.when(usable("numeric_value"), F.col("numeric_value"))).alias("value"))
     return out.filter(F.col("value").isNotNull())
 
 
