@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -581,19 +582,20 @@ def recogniser_field(person_names: DataFrame, items: DataFrame) -> Field:
     return _trained(of("given"), of("family"), tuple(sorted({r["brand"] for r in goods if r["brand"]})), tuple(sorted({r["item_name"] for r in goods if r["item_name"]})), version)
 
 
-_RECOGNISERS: dict[int, Recogniser] = {}
+#: A worker keeps the recogniser of the query it works for.
+_RECOGNISERS: dict[str, Recogniser] = {}
 
 
 def _annotated(documents: DataFrame, field: Field, key: str, text: str, answer, schema: str) -> DataFrame:
     """answer: (key, text, spans) of texts -> rows. Texts go in groups of about a million
     characters, so that a worker's memory is bounded by that and its longest text."""
-    shared = documents.sparkSession.sparkContext.broadcast(field)
+    shared, query = documents.sparkSession.sparkContext.broadcast(field), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(shared) not in _RECOGNISERS:
+        if query not in _RECOGNISERS:
             _RECOGNISERS.clear()
-            _RECOGNISERS[id(shared)] = Recogniser(shared.value)
-        r = _RECOGNISERS[id(shared)]
+            _RECOGNISERS[query] = Recogniser(shared.value)
+        r = _RECOGNISERS[query]
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()
             begin, size = 0, 0
@@ -610,8 +612,7 @@ def _annotated(documents: DataFrame, field: Field, key: str, text: str, answer,
 
 def personal_information(documents: DataFrame, person_names: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, kind, found``: one row per document, kind and distinct string, exactly as it stands
-    in the text. Null, empty and blank texts have none. Repeated documents come out once each per
-    batch that holds them; keys should be unique."""
+    in the text. Null, empty and blank texts have none. Rows that repeat a document repeat its finds."""
 
     def answer(keys, texts, spans) -> pa.RecordBatch:
         rows = [list(dict.fromkeys((k, t[a:b]) for a, b, k in s)) for t, s in zip(texts, spans)]
