@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +14,11 @@ from pyspark.sql import functions as F
 
 from eventloom.config import TokenizerConfig
 
-#: Distinct values of a group that one task sees when it looks for edges. A group of more is seen
-#: through this many values at even steps of rank, which
-#: moves an edge by at most two steps.
+#: Values that ``_thinned`` keeps. Edges don't use it: they are found on all values.
 MOST_VALUES = 200_000
+#: Distinct values of a group that a task holds in memory when it looks for edges; those of a larger
+#: group lie in files on its disk. The edges are the same.
+IN_MEMORY = 1_000_000
 
 PARAMS = "distribution string, mean double, var double, mu double, sigma2 double, alpha double, beta double, vmin double, vmax double, low double, high double"
 
@@ -74,41 +77,93 @@ def quantile_edges(values: np.ndarray, counts: np.ndarray, n_bins: int, clip: tu
     """
     keep = np.isfinite(values)
     order = np.argsort(values[keep])
-    u, c = values[keep][order].astype(float), counts[keep][order].astype(np.int64)
+    return _edges(values[keep][order].astype(float), np.cumsum(counts[keep][order].astype(np.int64)), n_bins, clip)
+
+
+def _edges(u: np.ndarray, upto: np.ndarray, n_bins: int, clip: tuple[float, float]) -> list[float]:
+    """The same for finite ascending distinct values with their running counts. Only looks up single
+    ranks and values, so that both may be mapped files."""
     wanted = n_bins - 1
     if wanted < 1 or len(u) == 0:
         return []
-    last = np.cumsum(c) - 1
+    n = int(upto[-1])
 
     def quantile(q: np.ndarray) -> np.ndarray:
-        h = q * last[-1]
+        h = q * (n - 1)
         f = np.floor(h)
-        a, b = u[np.searchsorted(last, f)], u[np.searchsorted(last, np.minimum(f + 1, last[-1]))]
+        a, b = (u[np.searchsorted(upto, np.minimum(r, n - 1).astype(np.int64), side="right")] for r in (f, f + 1))
         t = h - f
         return np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t)
 
     cuts = quantile(np.linspace(clip[0] / 100, clip[1] / 100, wanted))
     low, high = quantile(np.array([clip[0] / 100, clip[1] / 100]))
-    inside = (u >= low) & (u <= high)
-    if inside.any():
-        u, c = u[inside], c[inside]
-    if len(u) < 2:
+    start, end = int(np.searchsorted(u, low)), int(np.searchsorted(u, high, side="right"))
+    if start >= end:
+        start, end = 0, len(u)
+    if end - start < 2:
         return []
-    wanted = min(wanted, len(u) - 1)
-    upto = np.r_[0, np.cumsum(c)]
-    gaps = {int(g) for g in np.minimum(np.searchsorted(u, cuts), len(u) - 2)}
+    wanted = min(wanted, end - start - 1)
+    before = lambda i: int(upto[i - 1]) if i else 0
+    gaps = {int(g) for g in np.clip(np.searchsorted(u, cuts), start, end - 2)}
     while len(gaps) < wanted:
-        bounds = [-1, *sorted(gaps), len(u) - 1]
-        bins = [(int(upto[b + 1] - upto[a + 1]), a + 1, b) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
+        bounds = [start - 1, *sorted(gaps), end - 1]
+        bins = [(before(b + 1) - before(a + 1), a + 1, b) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
         if not bins:
             break
         mass, first, final = max(bins)
-        left = upto[first + 1 : final + 1] - upto[first]
-        gaps.add(first + int(np.argmin(np.abs(2 * left - mass))))
+        # running counts rise, so the best gap is the first that leaves half to the left, or the one before
+        half = before(first) + (mass + 1) // 2
+        g = min(first + int(np.searchsorted(upto[first:final], half)), final - 1)
+        off = lambda i, first=first, mass=mass: abs(2 * (int(upto[i]) - before(first)) - mass)
+        gaps.add(g - 1 if g > first and off(g - 1) <= off(g) else g)
     g = np.array(sorted(gaps))
     return ((u[g] + u[g + 1]) / 2).tolist()
 
 
+class _Ascending:
+    """The finite distinct values of one group with running counts, added in ascending order; in
+    files once there are more than IN_MEMORY."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.files: list = []
+        self.held = self.rows = 0
+
+    def add(self, v: np.ndarray, c: np.ndarray) -> None:
+        keep = np.isfinite(v)
+        upto = self.rows + np.cumsum(c[keep].astype(np.int64))
+        if not len(upto):
+            return
+        self.rows = int(upto[-1])
+        self.parts.append((v[keep].astype(float), upto))
+        self.held += len(upto)
+        if self.held > IN_MEMORY:
+            self._write()
+
+    def _write(self) -> None:
+        if not self.files:
+            folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+            self.files = [tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None) for _ in range(2)]
+        for part in self.parts:
+            for f, x in zip(self.files, part):
+                f.write(x.tobytes())
+        self.parts, self.held = [], 0
+
+    def edges(self, n_bins: int, clip: tuple[float, float]) -> list[float]:
+        if not self.rows:
+            return []
+        if not self.files:
+            return _edges(np.concatenate([v for v, _ in self.parts]), np.concatenate([c for _, c in self.parts]), n_bins, clip)
+        self._write()
+        for f in self.files:
+            f.flush()
+        try:
+            return _edges(*(np.memmap(f, t, "r") for f, t in zip(self.files, (np.float64, np.int64))), n_bins, clip)
+        finally:
+            for f in self.files:
+                f.close()
+
+
 def _thinned(v: np.ndarray, c: np.ndarray, upto: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     step = (upto - 1) * MOST_VALUES // n
     first = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
@@ -117,18 +172,17 @@ def _thinned(v: np.ndarray, c: np.ndarray, upto: np.ndarray, n: int) -> tuple[np
 
 def _edge_stream(keys: list[str], n_bins: int, clip: tuple[float, float]):
     """Sorted batches of a clipped ranked histogram to one row of edges per group. A group may span
-    batches; of large groups only the thinned values are kept."""
+    batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
         bounds: tuple[float, float] = (0.0, 0.0)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = _Ascending()
         done: list[tuple] = []
 
         def close() -> None:
             if key is not None:
-                v, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                done.append((key, quantile_edges(v, c, n_bins, clip), *bounds))
+                done.append((key, held.edges(n_bins, clip), *bounds))
 
         def flush() -> pa.RecordBatch:
             cols = {k: [r[0][i] for r in done] for i, k in enumerate(keys)}
@@ -146,14 +200,14 @@ def _edge_stream(keys: list[str], n_bins: int, clip: tuple[float, float]):
             for k in keys:
                 d = pc.dictionary_encode(col(k), null_encoding="encode")
                 code = code * (len(d.dictionary) + 1) + d.indices.to_numpy(zero_copy_only=False)
-            v, c, upto, n, distinct, low, high = (col(x).to_numpy() for x in ("v", "c", "upto", "n", "n_distinct", "low", "high"))
+            v, c, low, high = (col(x).to_numpy() for x in ("v", "c", "low", "high"))
             starts = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1]
             for i, j in zip(starts, np.r_[starts[1:], len(v)]):
                 mine = tuple(col(k)[int(i)].as_py() for k in keys)
                 if mine != key:
                     close()
-                    key, held, bounds = mine, [], (float(low[i]), float(high[i]))
-                held.append(_thinned(v[i:j], c[i:j], upto[i:j], int(n[i])) if distinct[i] > MOST_VALUES else (v[i:j], c[i:j]))
+                    key, held, bounds = mine, _Ascending(), (float(low[i]), float(high[i]))
+                held.add(v[i:j], c[i:j])
             if len(done) > 5000:
                 yield flush()
         close()

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventloom.functions.scalars import log_normal_below
@@ -67,3 +68,37 @@ def test_thinning_moves_an_edge_by_two_steps_at_most(monkeypatch):
     assert len(tv) == 5000 and tc.sum() == len(v)
     a, b = quantile_edges(v, c, 10, (1, 99)), quantile_edges(tv, tc, 10, (1, 99))
     assert np.abs(np.searchsorted(v, a) - np.searchsorted(v, b)).max() <= 20
+
+
+def all_steps(values, n_bins, clip=(1, 99)):
+    """The edges from whole arrays, each step as it is stated."""
+    x = np.sort(np.asarray(values, float))
+    low, high = np.percentile(x, clip[0]), np.percentile(x, clip[1])
+    u, c = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
+    gaps = set(np.minimum(np.searchsorted(u, np.quantile(x, np.linspace(clip[0] / 100, clip[1] / 100, n_bins - 1))), len(u) - 2).tolist())
+    while len(gaps) < min(n_bins - 1, len(u) - 1):
+        bounds = [-1, *sorted(gaps), len(u) - 1]
+        mass, a, b = max((int(c[a + 1 : b + 1].sum()), a + 1, b) for a, b in zip(bounds, bounds[1:]) if b - a > 1)
+        gaps.add(a + int(np.argmin(np.abs(2 * np.cumsum(c[a:b]) - mass))))
+    return [(u[g] + u[g + 1]) / 2 for g in sorted(gaps)]
+
+
+@pytest.mark.parametrize("in_memory", [10**9, 50_000])
+@pytest.mark.parametrize("same", [0, 150_000])
+def test_edges_of_a_group_with_very_many_values(in_memory, same, monkeypatch):
+    monkeypatch.setattr(numeric, "IN_MEMORY", in_memory, raising=False)
+    v = np.r_[np.random.default_rng(10).lognormal(3, 2, 450_000), np.full(same, 20.0)]
+    u, c = np.unique(v, return_counts=True)
+    cols = {"k": ["a"] * len(u), "v": u, "c": c, "upto": np.cumsum(c), "n": np.full(len(u), len(v)), "n_distinct": np.full(len(u), len(u)), "low": np.zeros(len(u)), "high": np.ones(len(u))}
+    batches = pa.table(cols).to_batches(max_chunksize=10_000)
+    (out,) = numeric._edge_stream(["k"], 10, (1, 99))(iter(batches))
+    assert out.column(1).to_pylist() == [all_steps(v, 10)]
+
+
+def test_edges_equal_all_steps_with_ties():
+    r = np.random.default_rng(11)
+    for k in range(300):
+        v = np.round(r.gamma(0.7, 4, int(r.integers(2, 400))), int(r.integers(0, 3)))
+        n_bins = int(r.integers(2, 25))
+        if len(np.unique(v[(v >= np.percentile(v, 1)) & (v <= np.percentile(v, 99))])) > 1:
+            assert edges(v, n_bins) == all_steps(v, n_bins), k
