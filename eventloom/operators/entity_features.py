@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from eventloom.operators.units import _unit_rows, quantity_name
 #: Event types with a column of their own at most; rows of further, rarer types are counted
 #: under ``class:other``, so that the counts of an entity always add up to its rows.
 MAX_TYPES = 4096
+#: A name is compared with names at least so many times as frequent, to see whether it is a
+#: misspelling of one of them.
+SLIP_RATIO = 20
 #: Rows of a bucket that are scattered at once, and entities in a dense block.
 BLOCK_ROWS, BLOCK_IDS = 500_000, 256
 
@@ -53,13 +57,60 @@ def _near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
+def _alike(events: DataFrame, units: DataFrame, pairs: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """Those of the pairs (class, rare name, frequent name) whose rare rows could be a random sample
+    of the frequent ones, as misspelled rows are.
+
+    Values, in steps of 1/16 octave with missing ones as a step of their own, must pass a
+    Kolmogorov-Smirnov test at 0.1 % and but for one in a hundred lie in steps that the frequent
+    name has. As many rare rows must be of ids that have the frequent name as there are frequent
+    rows of ids that have two, less three standard errors. A pair for which neither a value nor an
+    id speaks is not alike.
+    """
+    if not pairs:
+        return []
+    spark = events.sparkSession
+    v = F.when(usable("numeric_value"), F.col("numeric_value"))
+    step = F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 16) + 20_000)).cast("int")
+    mine = spark.createDataFrame(sorted({(c, n) for c, *both in pairs for n in both}), "_c string, _n string")
+    # never null, else the join would test the name for null and so compute it twice
+    name = F.coalesce(event_name(units), F.lit("none")).alias("_n")
+    e = pick(events, "id", "class", "text_value", "numeric_value").select("id", F.coalesce("class", F.lit("none")).alias("_c"), name, step.alias("_v"))
+    e = e.join(F.broadcast(mine), ["_c", "_n"]).groupBy("_c", "_n", "id", "_v").agg(F.count("*").alias("k"))
+    cells = e.persist()
+    spread: dict[tuple[str, str], dict[int | None, int]] = defaultdict(dict)
+    for r in cells.groupBy("_c", "_n", "_v").agg(F.sum("k").alias("k")).collect():
+        spread[r["_c"], r["_n"]][r["_v"]] = r["k"]
+    ids = cells.groupBy("_c", "_n", "id").agg(F.sum("k").alias("k"))
+    twice = {(r["_c"], r["_n"]): r["k"] for r in ids.filter("k > 1").groupBy("_c", "_n").agg(F.sum("k").alias("k")).collect()}
+    asked = F.broadcast(spark.createDataFrame(pairs, "_c string, _n string, _m string"))
+    rare = ids.join(asked, ["_c", "_n"])
+    other = ids.select("_c", F.col("_n").alias("_m"), F.col("id").alias("_id"))
+    met = rare.join(other, (rare["_c"] == other["_c"]) & (rare["_m"] == other["_m"]) & rare["id"].eqNullSafe(other["_id"]), "left_semi")
+    hits = {(r["_c"], r["_n"], r["_m"]): r["k"] for r in met.groupBy("_c", "_n", "_m").agg(F.sum("k").alias("k")).collect()}
+    cells.unpersist()
+
+    def fits(c: str, n: str, m: str) -> bool:
+        a, b = spread[c, n], spread[c, m]
+        k, all_m = sum(a.values()), sum(b.values())
+        steps = sorted({*a, *b}, key=lambda x: (x is not None, x or 0))
+        x, y = (np.cumsum([d.get(i, 0) for i in steps]) / t for d, t in ((a, k), (b, all_m)))
+        if np.abs(x - y).max() > 1.95 * np.sqrt(1 / k + 1 / all_m) or sum(z for i, z in a.items() if i not in b) > k // 100:
+            return False
+        share, met = twice.get((c, m), 0) / all_m, hits.get((c, n, m), 0)
+        return met >= k * share - 3 * np.sqrt(k * share * (1 - share)) and (met > 0 or any(i is not None for i in a))
+
+    return [p for p in pairs if fits(*p)]
+
+
 def type_table(events: DataFrame, units: DataFrame, max_types: int = MAX_TYPES) -> tuple[list[str], dict[tuple[str, str], int]]:
     """The event types in order of name, and for each (class, name) the index of its type.
 
     Counts cover all rows. The names that come to the driver are at most 16 * max_types, the most
-    frequent first. A rare name that is one slip away from a name a hundred times as frequent (or
-    from any with at least 20 rows, if it occurs once or twice) is a misspelling of it; codes of diagnoses are never
-    taken for misspellings. All names that aren't in the table are ``class:other``.
+    frequent first. A name one slip away from one SLIP_RATIO times as frequent is a misspelling of
+    it if its rows look like a sample of the other's (``_alike``); codes of diagnoses and quantities
+    of ``units`` are never taken for misspellings. All names that aren't in the table are
+    ``class:other``.
     """
     # texts repeat: they are counted first and named once each
     texts = pick(events, "class", "text_value").groupBy("class", "text_value").count()
@@ -69,13 +120,19 @@ def type_table(events: DataFrame, units: DataFrame, max_types: int = MAX_TYPES)
     by_class: dict[str, list[str]] = {}
     for c, n in count:
         by_class.setdefault(c, []).append(n)
-    into: dict[tuple[str, str], tuple[str, str]] = {}
+    quantities = {r[0] for r in units.select("quantity").distinct().collect()}
+    into = {t: t for t in count}
+    pairs = []
     for (c, n), k in count.items():
-        into[c, n] = (c, n)
-        if c != "diagnosis" and len(n) > 1:
-            close = [m for m in by_class[c] if count[c, m] >= max(20, 100 * k if k > 2 else 10 * k) and m != n and _near(n, m)]
-            if close:
-                into[c, n] = (c, max(close, key=lambda m: (count[c, m], m)))
+        if c != "diagnosis" and len(n) > 1 and n not in quantities:
+            pairs += [(c, n, m) for m in by_class[c] if count[c, m] >= SLIP_RATIO * k and _near(n, m)]
+    alike = _alike(events, units, pairs)
+    for c, n, m in sorted(alike, key=lambda p: (count[p[0], p[2]], p[2])):
+        into[c, n] = (c, m)
+    # a name that is folded into one that is folded itself goes where that goes
+    for t in into:
+        while into[into[t]] != into[t]:
+            into[t] = into[into[t]]
     own = sorted({t for t in into.values()}, key=lambda t: (-count[t], t))[: max(0, max_types - len(by_class))]
     others = {(c, "other") for c in by_class}
     names = sorted({f"{c}:{n}" for c, n in [*own, *others]})

@@ -59,3 +59,16 @@ def test_columns_layout_overflow_and_nulls(spark, events, table):
     few = E.feature_cells(e, table("units"), max_types=3)
     assert rows_of(few.groupBy("id").sum("n"), "id", "sum(n)") == [(1, 2), (2, 1), (None, 1)]
     assert E.entity_features(events([]), table("units")).count() == 0
+
+
+def test_real_types_one_letter_apart_stay_and_misspellings_go(events, table):
+    rows = [(k % 3, None, "lab", "mcv", 280 + k % 9) for k in range(3000)] + [(100 + k, None, "lab", "mch", 10 + k) for k in range(12)] + [(7, None, "lab", "mcg", 4000)]
+    rows += [(k % 40, None, "vital", "weight", 70 + k % 9) for k in range(2500)] + [(k, None, "vital", "height", 70 + k % 9) for k in range(20)]
+    # as many values as the frequent type has, but of other ids
+    rows += [(k % 50, None, "flowsheet", "mood: fair", k % 5) for k in range(2000)] + [(1000 + k, None, "flowsheet", "food: fair", k % 5) for k in range(15)]
+    rows += [(k % 40, None, "lab", "sodium", 130 + k % 10) for k in range(2000)] + [(k, None, "lab", "sodimu", 130 + k) for k in range(9)] + [(3, None, "lab", "sdium", 133)]
+    names, index = E.type_table(events(rows), table("units"))
+    of = lambda c, n: names[index[c, n]]
+    assert [of("lab", n) for n in ("mcv", "mch", "mcg", "sodium", "sodimu", "sdium")] == ["lab:mcv", "lab:mch", "lab:mcg", "lab:sodium", "lab:sodium", "lab:sodium"]
+    assert [of("vital", n) for n in ("weight", "height")] == ["vital:weight", "vital:height"]
+    assert [of("flowsheet", n) for n in ("mood", "food")] == ["flowsheet:mood", "flowsheet:food"]
