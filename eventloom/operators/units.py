@@ -37,7 +37,11 @@ REACH_FACTOR, REACH_RANGES = 1.3, 0.75
 REACH_TAIL = 0.003
 #: Entities that a source must share with known sources before they decide its unit.
 LEAST_LINKS = 5
+#: Steps of propagation through the graph of sources.
+STEPS = 2
 SALTS = 8
+#: Sources whose units are broadcast: a row of a few short strings each.
+MOST_SOURCES = 100_000
 NUMBER = r"[-+]?[0-9]+(?:[.,][0-9]+)?"
 
 
@@ -144,87 +148,158 @@ def reach(per_entity: DataFrame, units: DataFrame) -> DataFrame:
     return u.join(known, "quantity").select("quantity", "unit", back("_lo").alias("low"), back("_hi").alias("high"))
 
 
-def source_units(per_entity: DataFrame, entities: DataFrame, units: DataFrame) -> DataFrame:
-    """The unit in which each site records a quantity when no unit is stated, found from the data.
+def _label(fits: Column) -> Column:
+    """The source that a value belongs to within its site: the unit its text names, or for values
+    without one the units that its size allows."""
+    return F.coalesce("stated", F.concat(F.lit("?"), F.array_join(F.array_sort(fits), "|")))
 
-    A graph of sources: a site's values with a stated unit and its values without one are two
-    sources, linked by the entities that occur in both. Over the linked entities a robust scale
-    (median ratio of entity means) and offset (from the quartiles, for units that differ by a shift)
-    are estimated, and every known conversion is tried: the one with the smallest median residual
-    is taken. A source with fewer than LEAST_LINKS linked entities takes its unit from the next node
-    of the graph, all stated values of the quantity in the common unit.
 
-    Columns ``site, quantity, links, scale, offset, unit, residual``; site null stands for entities
-    without site. Nothing is collected; entities meet only in their own small groups.
+def _known(values: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Values with the definitions of their quantity and ``_fits``, the units their size allows."""
+    v = values.join(F.broadcast(bounds), "quantity", "left")
+    fits = F.transform(F.filter("_units", lambda x: F.col("value").between(x["low"], x["high"])), lambda x: x["unit"])
+    v = v.withColumn("_fits", F.coalesce(fits, F.array().cast("array<string>")))
+    return v.withColumn("label", _label(F.col("_fits")))
+
+
+def source_edges(values: DataFrame, units: DataFrame) -> DataFrame:
+    """The graph of sources: ``site, quantity, label, to, links, scale, offset, y, x``.
+
+    A source is a site's values of one ``label``: those whose text names one unit, or those without
+    a unit whose size allows the same units. Two sources of a quantity are linked by the entities
+    that occur in both; an edge leads from a source without unit to any other. Over the linked
+    entities' means a robust ``scale`` (median ratio) and ``offset`` (0) are estimated, for
+    quantities whose units differ by a shift from the quartiles ``y`` and ``x`` of both ends. A
+    further edge, ``to`` null, leads from each source without unit to all stated values of the
+    quantity in the common unit: the two ends' quartiles are compared without links.
+
+    An entity has one row per label, of which there are at most as many as sets of units.
     """
     u = _conversions(units)
-    site = pick(entities, "id", "site").groupBy("id").agg(F.min("site").alias("site"))
-    p = per_entity.join(site, "id", "left").join(u.withColumnRenamed("unit", "stated").select("quantity", "stated", "factor", "shift"), ["quantity", "stated"], "left")
-    common = F.col("mean") * F.col("factor") + F.col("shift")
-    entity = p.groupBy("site", "quantity", "id").agg(
-        (F.sum(F.when(F.col("stated").isNotNull(), common * F.col("n"))) / F.sum(F.when(F.col("stated").isNotNull(), F.col("n")))).alias("x"),
-        F.max(F.when(F.col("stated").isNull(), F.col("mean"))).alias("y"),
-    )
-    pooled = entity.filter("x is not null").groupBy("quantity").agg(F.percentile_approx("x", 0.5, 2000).alias("_all"))
-    mine = entity.filter("y is not null")
-    linked = F.col("x").isNotNull() & (F.col("x") != 0) & (F.col("y") != 0)
-    shape = mine.groupBy("site", "quantity").agg(
-        F.count(F.when(linked, 1)).alias("links"),
-        F.percentile_approx(F.when(linked, F.col("x") / F.col("y")), 0.5, 2000).alias("_ratio"),
-        F.percentile_approx(F.when(linked, F.col("x")), [0.25, 0.5, 0.75], 2000).alias("_x"),
-        F.percentile_approx(F.when(linked, F.col("y")), [0.25, 0.5, 0.75], 2000).alias("_y"),
-    )
-    tried = mine.join(pooled, "quantity").join(u, "quantity")
-    of = F.col("y") * F.col("factor") + F.col("shift")
-    apart = lambda a, b: F.when((a > 0) & (b > 0), F.abs(F.log(a / b))).otherwise(F.lit(99.0))
-    tried = tried.groupBy("site", "quantity", "unit").agg(
-        F.percentile_approx(F.when(linked, apart(of, F.col("x"))), 0.5, 2000).alias("_linked"), F.percentile_approx(apart(of, F.col("_all")), 0.5, 2000).alias("_pooled"), F.count(F.when(linked, 1)).alias("_n"),
-    )
-    cost = F.when(F.col("_n") >= LEAST_LINKS, F.col("_linked")).otherwise(F.col("_pooled"))
-    best = tried.groupBy("site", "quantity").agg(F.min(F.struct(cost.alias("residual"), F.col("unit").alias("unit"))).alias("b"))
-    shifted = u.groupBy("quantity").agg(F.max(F.abs("shift")).alias("_s"))
-    spread = (F.col("_x")[2] - F.col("_x")[0]) / F.nullif(F.col("_y")[2] - F.col("_y")[0], F.lit(0.0))
-    scale = F.when((F.col("_s") > 0) & spread.isNotNull(), spread).otherwise(F.col("_ratio"))
-    s = shape.join(shifted, "quantity").withColumn("scale", scale)
-    s = s.withColumn("offset", F.when(F.col("_s") > 0, F.col("_x")[1] - F.col("scale") * F.col("_y")[1]).otherwise(F.lit(0.0)))
-    return s.join(best, [s["site"].eqNullSafe(best["site"]), s["quantity"] == best["quantity"]]).select(s["site"], s["quantity"], "links", "scale", "offset", F.col("b.unit").alias("unit"), F.col("b.residual").alias("residual"))
+    per = values.groupBy("site", "id", "quantity", "label").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    mine = per.groupBy("site", "id", "quantity").agg(F.collect_list(F.struct("label", "mean")).alias("_l"))
+    both = F.flatten(F.transform("_l", lambda y: F.transform("_l", lambda x: F.struct(y["label"].alias("label"), x["label"].alias("to"), y["mean"].alias("y"), x["mean"].alias("x")))))
+    both = F.filter(both, lambda p: p["label"].startswith("?") & (p["label"] != p["to"]) & (p["x"] != 0) & (p["y"] != 0))
+    pairs = mine.select("site", "quantity", F.explode(both).alias("p")).select("site", "quantity", "p.*")
+    quart = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 2000)
+    edges = pairs.groupBy("site", "quantity", "label", "to").agg(F.count("*").alias("links"), F.percentile_approx(F.col("x") / F.col("y"), 0.5, 2000).alias("_ratio"), quart("y").alias("y"), quart("x").alias("x"))
+    common = per.join(u.select("quantity", F.col("unit").alias("label"), "factor", "shift"), ["quantity", "label"])
+    pooled = common.groupBy("quantity").agg(quart(F.col("mean") * F.col("factor") + F.col("shift")).alias("x"))
+    alone = per.filter(F.col("label").startswith("?")).groupBy("site", "quantity", "label").agg(F.count("*").alias("links"), quart("mean").alias("y")).join(pooled, "quantity")
+    alone = alone.select("site", "quantity", "label", F.lit(None).cast("string").alias("to"), "links", (F.col("x")[1] / F.nullif(F.col("y")[1], F.lit(0.0))).alias("_ratio"), "y", "x")
+    e = edges.unionByName(alone).join(u.groupBy("quantity").agg(F.max(F.abs("shift")).alias("_s")), "quantity", "left")
+    spread = (F.col("x")[2] - F.col("x")[0]) / F.nullif(F.col("y")[2] - F.col("y")[0], F.lit(0.0))
+    e = e.withColumn("scale", F.when((F.col("_s") > 0) & (spread > 0), spread).otherwise(F.col("_ratio")))
+    return e.select("site", "quantity", "label", "to", "links", "scale", F.when(F.col("_s") > 0, F.col("x")[1] - F.col("scale") * F.col("y")[1]).otherwise(F.lit(0.0)).alias("offset"), "y", "x", (F.col("_s") > 0).alias("_shifted"))
+
+
+def _snapped(edges: DataFrame, anchors: DataFrame, units: DataFrame) -> DataFrame:
+    """The unit of each source from its edges to anchored sources (``site, quantity, to, unit``):
+    every known conversion is compared with the edge's scale and offset, and the one nearest over
+    all edges, weighted by their links, is taken. ``site, quantity, label, unit, links, residual,
+    next``; next is the residual of the second nearest."""
+    u = _conversions(units)
+    known = u.select("quantity", F.col("unit").alias("_u"), F.col("factor").alias("_fu"), F.col("shift").alias("_su"))
+    at = u.select("quantity", "unit", F.col("factor").alias("_fw"), F.col("shift").alias("_sw"))
+    ends = anchors.join(at, ["quantity", "unit"]).select(F.col("site").alias("_site"), F.col("quantity").alias("_q"), F.col("to").alias("_to"), "_fw", "_sw")
+    e = edges.join(ends, F.col("site").eqNullSafe(F.col("_site")) & (F.col("quantity") == F.col("_q")) & (F.col("to") == F.col("_to"))).drop("_site", "_q", "_to")
+    return _nearest(e.join(known, "quantity"))
+
+
+def _nearest(tried: DataFrame) -> DataFrame:
+    """Of the conversions tried on each edge the nearest per source."""
+    factor, shift = F.col("_fu") / F.col("_fw"), (F.col("_su") - F.col("_sw")) / F.col("_fw")
+    off = sum((F.abs(F.col("x")[i] - (F.col("y")[i] * factor + shift)) for i in range(3)), F.lit(0.0)) / (3 * F.abs(F.nullif(F.col("x")[1], F.lit(0.0))))
+    cost = F.when(F.col("_shifted"), off).otherwise(F.abs(F.log(F.col("scale") / factor)))
+    cost = F.least(F.coalesce(F.nanvl(cost, F.lit(9.0)), F.lit(9.0)), F.lit(9.0))
+    t = tried.groupBy("site", "quantity", "label", "_u").agg(F.sum("links").alias("links"), (F.sum(cost * F.col("links")) / F.sum("links")).alias("residual"))
+    best = t.groupBy("site", "quantity", "label").agg(F.max("links").alias("links"), F.array_sort(F.collect_list(F.struct("residual", F.col("_u").alias("unit")))).alias("_b"))
+    return best.select("site", "quantity", "label", F.col("_b")[0]["unit"].alias("unit"), "links", F.col("_b")[0]["residual"].alias("residual"), F.coalesce(F.get("_b", F.lit(1))["residual"], F.lit(9.0)).alias("next"))
+
+
+def source_units(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """The unit of each source without one, found by propagation through the graph: ``site,
+    quantity, label, unit, links, residual, next, step``.
+
+    Sources whose text names a unit are the anchors. In step 1 sources with LEAST_LINKS entities in
+    common with anchors take the nearest known conversion; in the following steps sources that are
+    so linked with those solved before. What no step reaches is compared with all stated
+    values of the quantity (step 0). ``edges`` should be a table of its own (``cut``): it has a row
+    per pair of sources, however many values there are.
+    """
+    u = _conversions(units)
+    anchors = edges.filter("to is not null and not startswith(to, '?')").select("site", "quantity", "to").distinct().withColumn("unit", F.col("to"))
+    found: DataFrame | None = None
+    for step in range(1, STEPS + 1):
+        now = _snapped(edges, anchors, units).filter(F.col("links") >= LEAST_LINKS).withColumn("step", F.lit(step))
+        if found is not None:
+            before = found.select(F.col("site").alias("_site"), F.col("quantity").alias("_q"), F.col("label").alias("_label"))
+            now = now.join(before, F.col("site").eqNullSafe(F.col("_site")) & (F.col("quantity") == F.col("_q")) & (F.col("label") == F.col("_label")), "left_anti")
+        found = now if found is None else found.unionByName(now)
+        anchors = now.select("site", "quantity", F.col("label").alias("to"), "unit")
+    one = edges.filter("to is null").withColumn("_fw", F.lit(1.0)).withColumn("_sw", F.lit(0.0))
+    rest = _nearest(one.join(u.select("quantity", F.col("unit").alias("_u"), F.col("factor").alias("_fu"), F.col("shift").alias("_su")), "quantity")).withColumn("step", F.lit(0))
+    all_ = found.unionByName(rest)
+    pick_first = F.min_by(F.struct("unit", "links", "residual", "next", "step"), F.when(F.col("step") == 0, STEPS + 1).otherwise(F.col("step")))
+    return all_.groupBy("site", "quantity", "label").agg(pick_first.alias("b")).select("site", "quantity", "label", "b.*")
 
 
 def harmonise(events: DataFrame, entities: DataFrame, units: DataFrame, site_units: DataFrame) -> DataFrame:
     """Every value in its recorded and in the common unit:
     ``src, id, quantity, value, recorded, unit, common_value, common_unit``.
 
-    ``recorded`` is the unit that the text names; if it names none, the usual unit of the entity's
-    site in ``site_units``; if there is none, or the value is out of reach for a patient in it, the
-    only unit that the value's size allows; null if several or none are allowed. ``unit`` is the
-    unit used for conversion: ``recorded``, or where that is null the unit that the graph of
-    sources gives (``source_units``). Of repeated definitions of a site's unit the first in order
-    of the code counts. Values are never dropped: without any unit ``common_value`` is null.
-
-    Ids meet their site in a join salted by _src, so one id may hold any share of the rows.
+    ``unit`` is the one that the text names, and otherwise the one that the graph of sources gives
+    to the value's source (``source_units``). ``recorded`` is that unit after an exact check by the
+    definitions: the usual unit of the entity's site in ``site_units`` if a patient can have the
+    value in it, or else the only unit that the value's size allows. Where the graph has fewer
+    than LEAST_LINKS links for a source and the check gives another unit, the check's counts for
+    both; where the check contradicts a linked source or gives none, ``recorded`` is null. Of
+    repeated definitions of a site's unit the first in order of the code counts. Values are never
+    dropped: without any unit ``common_value`` is null.
+
+    Ids meet their site in a join salted by _src, so one id may hold any share of the rows; what
+    is found for sources is broadcast while there are at most MOST_SOURCES of them and else joined
+    with as many salts.
     """
-    u = _conversions(units)
-    seen = cut(_per_entity(readings(events, units, distinct=False)))
-    # definitions per quantity, unit and site: as small as the tables they come from
-    r = reach(seen, units)
-    bounds = u.join(r, ["quantity", "unit"], "left").groupBy("quantity").agg(F.collect_list(F.struct("unit", "factor", "shift", "low", "high", "common_unit")).alias("_units"))
-    usual = pick(site_units, "site", "quantity", "unit").groupBy("site", "quantity").agg(F.min("unit").alias("_usual"))
-    found = source_units(seen, entities, units).select(F.col("site").alias("_site"), F.col("quantity").alias("_q"), F.col("unit").alias("_graph"))
-
     site = pick(entities, "id", "site").groupBy("id").agg(F.min("site").alias("site"))
     site = site.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     v = readings(events, units).withColumn("_salt", F.pmod(F.hash("src"), F.lit(SALTS)))
-    v = v.join(site, ["id", "_salt"], "left").drop("_salt")
-    v = v.join(usual, ["site", "quantity"], "left").join(bounds, "quantity", "left")
-    v = v.join(found, F.col("site").eqNullSafe(F.col("_site")) & (F.col("quantity") == F.col("_q")), "left")
-    fits = F.transform(F.filter("_units", lambda x: F.col("value").between(x["low"], x["high"])), lambda x: x["unit"])
-    recorded = F.coalesce("stated", F.when(F.array_contains(fits, F.col("_usual")), F.col("_usual")), F.when(F.size(fits) == 1, fits[0]))
-    v = v.withColumn("recorded", recorded).withColumn("unit", F.coalesce("recorded", "_graph", "_usual"))
-    one = F.filter("_units", lambda x: x["unit"] == F.col("unit"))[0]
-    v = v.withColumn("_one", one)
+    v = cut(v.join(site, ["id", "_salt"], "left"))
+    # definitions per quantity and unit: as small as the table of units, which is checked
+    r = reach(_per_entity(v), units)
+    bounds = _conversions(units).join(r, ["quantity", "unit"], "left").groupBy("quantity").agg(F.collect_list(F.struct("unit", "factor", "shift", "low", "high", "common_unit")).alias("_units"))
+    bounds = cut(bounds)
+    v = _known(v, bounds)
+    usual = pick(site_units, "site", "quantity", "unit").groupBy("site", "quantity").agg(F.min("unit").alias("_usual"))
+    sources = source_units(cut(source_edges(v, units)), units)
+    sources = cut(sources.join(usual, ["site", "quantity"], "left").select(F.col("site").alias("_site"), F.col("quantity").alias("_q"), F.col("label").alias("_label"), F.col("unit").alias("_graph"), (F.col("step") > 0).alias("_sure"), "_usual"))
+    same = F.col("site").eqNullSafe(F.col("_site")) & (F.col("quantity") == F.col("_q")) & (F.col("label") == F.col("_label"))
+    if sources.count() <= MOST_SOURCES:
+        v = v.join(F.broadcast(sources), same, "left")
+    else:
+        salted = sources.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        v = v.join(salted, same & (F.col("_salt") == F.col("_part")), "left")
+    rule = F.when(F.array_contains("_fits", F.col("_usual")), F.col("_usual")).when(F.size("_fits") == 1, F.get("_fits", F.lit(0)))
+    v = v.withColumn("_rule", rule)
+    v = v.withColumn("unit", F.coalesce("stated", F.when(F.coalesce("_sure", F.lit(False)), F.col("_graph")), "_rule", "_graph"))
+    v = v.withColumn("recorded", F.coalesce("stated", F.when(F.col("unit") == F.col("_rule"), F.col("unit"))))
+    v = v.withColumn("_one", F.filter("_units", lambda x: x["unit"] == F.col("unit"))[0])
     return v.select("src", "id", "quantity", "value", "recorded", "unit", (F.col("value") * F.col("_one.factor") + F.col("_one.shift")).alias("common_value"), F.col("_units")[0]["common_unit"].alias("common_unit"))
 
 
+def site_usual_units(events: DataFrame, entities: DataFrame, units: DataFrame) -> DataFrame:
+    """The unit in which each site records a quantity when it states none, from the graph alone:
+    ``site, quantity, unit, links``; the unit that most linked entities have, or if sources share
+    too few entities with others, the one nearest to all stated values (links 0). Null sites don't
+    come out."""
+    site = pick(entities, "id", "site").groupBy("id").agg(F.min("site").alias("site"))
+    v = cut(readings(events, units).join(site, "id").filter("site is not null"))
+    bounds = cut(_conversions(units).join(reach(_per_entity(v), units), ["quantity", "unit"], "left").groupBy("quantity").agg(F.collect_list(F.struct("unit", "factor", "shift", "low", "high", "common_unit")).alias("_units")))
+    s = source_units(cut(source_edges(_known(v, bounds), units)), units)
+    s = s.groupBy("site", "quantity", "unit").agg(F.sum(F.when(F.col("step") > 0, F.col("links")).otherwise(F.lit(0))).alias("links"), F.sum("links").alias("_n"))
+    return s.groupBy("site", "quantity").agg(F.max_by("unit", F.struct("links", "_n", "unit")).alias("unit"), F.max("links").alias("links"))
+
+
 def foreign_units(events: DataFrame, entities: DataFrame, units: DataFrame, site_units: DataFrame) -> DataFrame:
     """The values recorded in another unit than the common one: ``src, unit``."""
     h = harmonise(events, entities, units, site_units)

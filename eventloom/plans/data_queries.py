@@ -22,6 +22,12 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
     return units.harmonise(*(read(spark, d, t) for t in ("demo", "entities", "units", "site_units")))
 
 
+def p2_graph(spark: SparkSession, d: str) -> DataFrame:
+    """What the graph alone finds for the sites and quantities whose usual unit is defined."""
+    found = units.site_usual_units(*(read(spark, d, t) for t in ("demo", "entities", "units")))
+    return read(spark, d, "site_units").select("site", "quantity").distinct().join(found, ["site", "quantity"]).select("site", "quantity", "unit")
+
+
 def p3_features(spark: SparkSession, d: str) -> DataFrame:
     return entity_features.entity_features(read(spark, d, "demo"), read(spark, d, "units"))
 
@@ -46,7 +52,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_values, p3_features, p3_cells, p3_totals, p5_found, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_values, p2_graph, p3_features, p3_cells, p3_totals, p5_found, p7_found)}
 
 
 PERIODS = """
@@ -96,4 +102,4 @@ TOTALS = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _found_units(), "p3_totals": TOTALS, "p7_found": PERIODS}
+    return {"p2_found": _found_units(), "p2_graph": "select distinct site, quantity, unit from site_units", "p3_totals": TOTALS, "p7_found": PERIODS}

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from eventloom.operators import units as U
 
@@ -55,10 +56,26 @@ def test_sources_are_linked_scaled_and_snapped(spark, events, table):
         rows.append((i, "2021-01-01", "vital", "temp, degC", level))
         rows.append((i, "2021-01-02", "vital", "temp", level * 1.8 + 32 if i % 2 else level))
     e, u = events(rows), table("units")
-    s = U.source_units(U._per_entity(U.readings(e, u)), spark.createDataFrame(ents, "id long, site string"), u).collect()
-    got = {r["site"]: r for r in s}
-    assert got["F"]["unit"] == "degF" and got["C"]["unit"] == "degC" and got["F"]["links"] == 100
-    assert got["F"]["scale"] == pytest.approx(1 / 1.8, rel=0.02) and got["F"]["offset"] == pytest.approx(-17.78, abs=0.7)
+    site = spark.createDataFrame(ents, "id long, site string")
+    v = U.readings(e, u).join(site, "id")
+    bounds = U._conversions(u).join(U.reach(U._per_entity(v), u), ["quantity", "unit"], "left").groupBy("quantity").agg(F.collect_list(F.struct("unit", "factor", "shift", "low", "high", "common_unit")).alias("_units"))
+    edges = U.source_edges(U._known(v, bounds), u)
+    got = {(r["site"], r["to"]): r for r in edges.collect()}
+    assert got["F", "degC"]["links"] == 100
+    assert got["F", "degC"]["scale"] == pytest.approx(1 / 1.8, rel=0.02) and got["F", "degC"]["offset"] == pytest.approx(-17.78, abs=0.7)
+    found = rows_of(U.source_units(edges, u), "site", "label", "unit", "step")
+    assert found == [("C", "?degC", "degC", 1), ("F", "?degF", "degF", 1)]
+    assert rows_of(U.site_usual_units(e, site, u), "site", "unit", "links") == [("C", "degC", 100), ("F", "degF", 100)]
+
+
+def test_units_spread_through_the_graph(spark, table):
+    """A source without stated neighbours takes its unit from a solved one; one without links from
+    all stated values."""
+    u, q = table("units"), [1.0, 2.0, 3.0]
+    edge = lambda label, to, links, k: ("A", "weight", label, to, links, k, 0.0, [x / k for x in q], q, False)
+    rows = [edge("?kg", "lb", 9, 2.2046), edge("?kg|lb", "?kg", 8, 0.4536), edge("?lb", "?kg", 2, 0.4536), edge("?lb", None, 2, 0.4536)]
+    e = spark.createDataFrame(rows, "site string, quantity string, label string, `to` string, links long, scale double, offset double, y array<double>, x array<double>, _shifted boolean")
+    assert rows_of(U.source_units(e, u), "label", "unit", "step") == [("?kg", "kg", 1), ("?kg|lb", "lb", 2), ("?lb", "lb", 0)]
 
 
 def test_empty(spark, events, tables):
