@@ -1,19 +1,25 @@
 """The same results in DuckDB's SQL, where SQL can express them."""
 
-from eventloom.llm.percentiles import PERMILLE
+from eventloom.llm.percentiles import KEPT, PERMILLE
 from eventloom.llm.splits import SHARES
 
 DISTINCT = "select distinct id, time, class, text_value, numeric_value from demo"
 
 
-def _percentiles() -> str:
-    cuts = ", ".join(f"max(v) filter (where k = greatest(1, (n * {q} + 999) // 1000)) as {name}" for name, q in PERMILLE.items())
+USABLE = "numeric_value is not null and not isnan(numeric_value)"
+
+
+def _within(by: str, counters: str) -> str:
+    names = ", ".join(f"('{n}')" for n in PERMILLE)
     return f"""
-        with d as ({DISTINCT} where numeric_value is not null and not isnan(numeric_value)),
-        r as (select class, text_value, numeric_value as v,
-                row_number() over (partition by class, text_value order by numeric_value) as k,
-                count(*) over (partition by class, text_value) as n from d)
-        select class, text_value, any_value(n) as n, {cuts}, 0.0::double as rank_error from r group by class, text_value"""
+        with d as ({DISTINCT} where {USABLE}), g as (select {by}, count(*) as n, {counters} as counters from d group by {by})
+        select {by}, percentile, n, counters, true as within from g, (values {names}) p(percentile)"""
+
+
+DAYS = f"""
+    with d as ({DISTINCT} where {USABLE})
+    select class, count(*) as n, true as days_equal, count(*) filter (where coalesce(id, 0) % 2 <> 0) as n_left, true as deletion_equal
+    from d group by class having count(*) filter (where coalesce(id, 0) % 2 <> 0) > 0"""
 
 
 TERMS = f"""
@@ -47,7 +53,9 @@ def _splits() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_percentiles": _percentiles(),
+        "p1_within": _within("class, text_value", f"count(distinct numeric_value) > {KEPT}"),
+        "p1_sketched": _within("class", "true"),
+        "p1_days": DAYS,
         "p4_found": f"select class, term, mark from ({TERMS}) where mark is not null",
         "p4_terms": TERMS,
         "p6_found": f"{GROUPS} select group_id, id from groups where id <> group_id",

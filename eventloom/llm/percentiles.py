@@ -6,9 +6,10 @@ random sign, to one counter in each of DEPTH rows, and the median over the rows
 weight of a prefix. Ranks are inverted by descending the resolutions. Counters are linear, so
 sketches are merged by addition, and deletions are negative weights.
 
-Counters pay off only for groups with many values. A group is kept as plain (value, weight) pairs,
-which are merged by addition as well and give exact percentiles, while it has at most DEPTH * WIDTH
-distinct values: as many as one resolution has counters.
+A group of few values would leave nearly all counters empty. While it has at most KEPT distinct
+values, its updates wait as (value, weight) pairs, which are merged by addition as well and give
+exact percentiles; the first value beyond puts all of them into counters. ``kept=0`` has counters
+for every group.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ WIDTH, DEPTH = 1024, 5
 #: Resolutions: prefixes of up to BITS bits; up to PLAIN bits each prefix has its own counter.
 #: 32 bits are sign, exponent and 20 bits of the mantissa: values come out within 1 in 2**20.
 BITS, PLAIN = 32, 12
-PAIRS = DEPTH * WIDTH
-CELLS = (1 << PLAIN) + (BITS - PLAIN) * PAIRS
+LEVEL = DEPTH * WIDTH
+CELLS = (1 << PLAIN) + (BITS - PLAIN) * LEVEL
+#: Distinct values up to which a group's updates wait outside of the counters.
+KEPT = 128
 #: Rows that a task folds at once.
 FOLD_ROWS = 1_000_000
 STATE = "n long, pairs array<long>, weights array<long>, cells binary"
@@ -72,8 +75,8 @@ def add_pairs(cells: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.nd
     for level in range(PLAIN + 1, BITS + 1):
         where, sign = _places(p >> np.uint64(BITS - level), level)
         flat = (where + np.arange(DEPTH)[:, None] * WIDTH).ravel()
-        at = base + (level - PLAIN - 1) * PAIRS
-        cells[at : at + PAIRS] += np.bincount(flat, weights=(sign * weights[None, :]).ravel(), minlength=PAIRS).astype(np.int64)
+        at = base + (level - PLAIN - 1) * LEVEL
+        cells[at : at + LEVEL] += np.bincount(flat, weights=(sign * weights[None, :]).ravel(), minlength=LEVEL).astype(np.int64)
     return cells
 
 
@@ -88,8 +91,8 @@ def _quantiles_of_cells(cells: np.ndarray, permille: list[int]) -> tuple[np.ndar
     here = top[p.astype(np.int64)].astype(np.float64)
     noise = 0.0
     for level in range(PLAIN + 1, BITS + 1):
-        at = base + (level - PLAIN - 1) * PAIRS
-        rows = cells[at : at + PAIRS].reshape(DEPTH, WIDTH)
+        at = base + (level - PLAIN - 1) * LEVEL
+        rows = cells[at : at + LEVEL].reshape(DEPTH, WIDTH)
         left = p << np.uint64(1)
         where, sign = _places(left, level)
         w = np.median(np.take_along_axis(rows, where, 1) * sign, axis=0)
@@ -100,7 +103,7 @@ def _quantiles_of_cells(cells: np.ndarray, permille: list[int]) -> tuple[np.ndar
         # the largest counters are values of their own and disturb others only by a rare collision
         tail = np.sort(np.abs(rows), axis=1)[:, : WIDTH - 16].astype(np.float64)
         noise += float(np.median((tail**2).sum(axis=1))) / WIDTH
-    return decode(p << np.uint64(64 - BITS)), 2 * noise**0.5 / max(total, 1)
+    return decode(p << np.uint64(64 - BITS)), max(2 * noise**0.5, 0.5) / max(total, 1)
 
 
 def _quantiles_of_pairs(keys: np.ndarray, weights: np.ndarray, permille: list[int]) -> np.ndarray:
@@ -120,9 +123,10 @@ def _group_codes(t: pa.Table, names: list[str]) -> np.ndarray:
     return code
 
 
-def _fold(t: pa.Table, names: list[str], code: np.ndarray, group: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> pa.Table:
+def _fold(t: pa.Table, names: list[str], code: np.ndarray, group: np.ndarray, keys: np.ndarray, weights: np.ndarray, kept: int) -> pa.Table:
     """Sketches of the groups of a table. code: the group of each row; group, keys, weights: the
-    pairs; the table's column cells, if any, has counters that are added."""
+    pairs; the table's column cells, if any, has counters that are added. Groups of more than ``kept``
+    pairs get counters."""
     first = np.unique(code, return_index=True)[1]
     order = np.lexsort((keys, group))
     g, k, w = group[order], keys[order], weights[order]
@@ -130,44 +134,45 @@ def _fold(t: pa.Table, names: list[str], code: np.ndarray, group: np.ndarray, ke
     at = np.flatnonzero(new)
     w = np.add.reduceat(w, at) if len(at) else w
     g, k = g[at], k[at]
-    kept = w != 0
-    g, k, w = g[kept], k[kept], w[kept]
+    some = w != 0
+    g, k, w = g[some], k[some], w[some]
     bounds = np.searchsorted(g, np.arange(len(first) + 1))
-    dense: dict[int, np.ndarray] = {}
+    given: dict[int, list[int]] = {}
     if "cells" in t.column_names:
         c = t.column("cells")
         for i in np.flatnonzero(np.asarray(c.is_valid())):
-            block = np.frombuffer(zlib.decompress(c[int(i)].as_py()), np.int64)
-            dense[int(code[i])] = dense[int(code[i])] + block if int(code[i]) in dense else block.copy()
-    for i in np.flatnonzero(np.diff(bounds) > PAIRS):
-        dense.setdefault(int(i), np.zeros(CELLS, np.int64))
-    stays = np.ones(len(g), bool)
-    for i, cells in dense.items():
-        a, b = bounds[i], bounds[i + 1]
-        if b > a:
-            add_pairs(cells, k[a:b], w[a:b])
-            stays[a:b] = False
+            given.setdefault(int(code[i]), []).append(int(i))
     n = np.bincount(g, weights=w, minlength=len(first)).astype(np.int64)
-    for i, cells in dense.items():
-        n[i] = cells[: 1 << PLAIN].sum()
-    size = np.where([i in dense for i in range(len(first))], 0, np.diff(bounds)) if dense else np.diff(bounds)
+    size = np.diff(bounds)
+    stays = np.ones(len(g), bool)
+    packed: list[bytes | None] = [None] * len(first)
+    # one group's counters at a time are unpacked
+    for i in sorted({*given, *np.flatnonzero(size > kept).tolist()}):
+        cells = np.zeros(CELLS, np.int64)
+        for j in given.get(i, []):
+            cells += np.frombuffer(zlib.decompress(c[j].as_py()), np.int64)
+        x, y = bounds[i], bounds[i + 1]
+        if y > x:
+            add_pairs(cells, k[x:y], w[x:y])
+            stays[x:y] = False
+        n[i], size[i], packed[i] = cells[: 1 << PLAIN].sum(), 0, zlib.compress(cells.tobytes(), 1)
     offsets = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
     cols = {x: t.column(x).combine_chunks().take(pa.array(first)) for x in names}
     cols |= {
         "n": pa.array(n), "pairs": pa.ListArray.from_arrays(offsets, pa.array(k[stays].view(np.int64))), "weights": pa.ListArray.from_arrays(offsets, pa.array(w[stays])),
-        "cells": pa.array([zlib.compress(dense[i].tobytes(), 1) if i in dense else None for i in range(len(first))], pa.binary()),
+        "cells": pa.array(packed, pa.binary()),
     }
     return pa.table(cols)
 
 
-def _build(names: list[str]):
+def _build(names: list[str], kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def fold() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             code = _group_codes(t, names)
-            yield from _fold(t, names, code, code, encode(t.column("_v").to_numpy()), t.column("_w").to_numpy()).to_batches(20_000)
+            yield from _fold(t, names, code, code, encode(t.column("_v").to_numpy()), t.column("_w").to_numpy(), kept).to_batches(20_000)
 
         for b in batches:
             if b.num_rows:
@@ -181,7 +186,7 @@ def _build(names: list[str]):
     return run
 
 
-def _merge(names: list[str]):
+def _merge(names: list[str], kept: int):
     """Sketches sorted by group to one per group. What was folded of the last group goes on into
     the next round, so that memory holds a bounded number of pairs and counters."""
 
@@ -198,14 +203,14 @@ def _merge(names: list[str]):
             pairs, weights = t.column("pairs").combine_chunks(), t.column("weights").combine_chunks()
             length = pc.fill_null(pc.list_value_length(pairs), 0).to_numpy(zero_copy_only=False)
             flat = lambda a: pc.list_flatten(a).to_numpy(zero_copy_only=False)
-            return _fold(t, names, code, np.repeat(code, length), flat(pairs).view(np.uint64), flat(weights))
+            return _fold(t, names, code, np.repeat(code, length), flat(pairs).view(np.uint64), flat(weights), kept)
 
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(pa.Table.from_batches([b]))
             c = b.schema.get_field_index
-            size += b.num_rows + len(b.column(c("pairs")).values) + 20_000 * (b.num_rows - b.column(c("cells")).null_count)
+            size += b.num_rows + len(b.column(c("pairs")).values) + 5_000 * (b.num_rows - b.column(c("cells")).null_count)
             if size >= FOLD_ROWS:
                 t = fold()
                 yield from t.slice(0, t.num_rows - 1).to_batches(20_000)
@@ -222,7 +227,7 @@ def _schema(df: DataFrame, names: list[str]) -> T.StructType:
     return T.StructType(keys + T.StructType.fromDDL(STATE).fields)
 
 
-def sketch(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+def sketch(df: DataFrame, by: list[str], value: str, weight: str | None = None, kept: int = KEPT) -> DataFrame:
     """Partial sketches of a numeric column by group: ``by`` and the state columns. Several rows
     may stand for one group; ``merged`` unites them.
 
@@ -233,13 +238,14 @@ def sketch(df: DataFrame, by: list[str], value: str, weight: str | None = None)
     cols = pick(df, *dict.fromkeys([*by, value, *([weight] if weight else [])]))
     rows = cols.filter(usable(F.col(f"`{value}`").cast("double"))).select(*[F.col(f"`{b}`").alias(n) for b, n in zip(by, names)], F.col(f"`{value}`").cast("double").alias("_v"), (F.col(f"`{weight}`") if weight else F.lit(1)).cast("long").alias("_w"))
     rows = rows.filter("_w is not null")
-    return rows.mapInArrow(_build(names), _schema(rows, names)).withColumnsRenamed(dict(zip(names, by)))
+    return rows.mapInArrow(_build(names, kept), _schema(rows, names)).withColumnsRenamed(dict(zip(names, by)))
 
 
-def merged(sketches: DataFrame, by: list[str], salts: int = 8) -> DataFrame:
+def merged(sketches: DataFrame, by: list[str], salts: int = 8, kept: int = KEPT) -> DataFrame:
     """One sketch per group of ``by``, by adding up sketches of parts, days or tables (``union``
     them first). Merging goes over ``salts`` parts of each group and then over groups, so that a
-    group with any number of partial sketches isn't added up by one task alone.
+    group with any number of partial sketches isn't added up by one task alone. Groups of more than
+    ``kept`` distinct values come out as counters.
     """
     names = [f"_k{i}" for i in range(len(by))]
     state = ["n", "pairs", "weights", "cells"]
@@ -248,9 +254,9 @@ def merged(sketches: DataFrame, by: list[str], salts: int = 8) -> DataFrame:
     if salts > 1:
         part = s.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         part = part.repartition(F.xxhash64(*names, "_salt")).drop("_salt").sortWithinPartitions(*names)
-        s = part.mapInArrow(_merge(names), out)
+        s = part.mapInArrow(_merge(names, KEPT), out)
     s = s.repartition(F.xxhash64(*names)).sortWithinPartitions(*names)
-    return s.mapInArrow(_merge(names), out).withColumnsRenamed(dict(zip(names, by)))
+    return s.mapInArrow(_merge(names, kept), out).withColumnsRenamed(dict(zip(names, by)))
 
 
 def quantiles(sketches: DataFrame, by: list[str], permille: dict[str, int]) -> DataFrame:
@@ -259,7 +265,7 @@ def quantiles(sketches: DataFrame, by: list[str], permille: dict[str, int]) -> D
 
     The q-quantile of n values is the ceil(q * n)-th smallest, at least the first. ``rank_error``
     is the share of n by which the rank of a result may be off (0 for groups kept as pairs; for
-    counters twice the standard error, estimated from their size); values read from counters are
+    counters twice the standard error, estimated from their size, and half a rank at least); values read from counters are
     also cut to 20 bits of their mantissa. Groups whose weights add up to nothing don't come out.
     """
     cuts = list(permille.values())
@@ -298,7 +304,31 @@ def daily_sketches(events: DataFrame) -> DataFrame:
     return sketch(e.select("class", "text_value", F.to_date("time").alias("day"), "numeric_value"), ["class", "text_value", "day"], "numeric_value")
 
 
-def event_percentiles(events: DataFrame, permille: dict[str, int] | None = None) -> DataFrame:
-    """Percentiles of ``numeric_value`` for each class and text, united from the sketches of days."""
-    by = ["class", "text_value"]
-    return quantiles(merged(daily_sketches(events), by), by, permille or PERMILLE)
+def event_percentiles(events: DataFrame, permille: dict[str, int] | None = None, by: tuple[str, ...] = ("class", "text_value"), kept: int = KEPT) -> DataFrame:
+    """Percentiles of ``numeric_value`` for each class and text (or ``by`` of ``class``,
+    ``text_value`` and ``day``), united from the sketches of days."""
+    return quantiles(merged(daily_sketches(events), list(by), kept=kept), list(by), permille or PERMILLE)
+
+
+def rank_check(found: DataFrame, rows: DataFrame, by: list[str], value: str, permille: dict[str, int]) -> DataFrame:
+    """Whether percentiles keep the error they state: ``by, percentile, n, counters, within``.
+
+    A value keeps it if the exact rank that it should have differs by at most ``rank_error`` * n
+    from the ranks that it has in ``rows``, values within 1 in 2^19 taken for equal (counters
+    have 20 bits of the mantissa). ``counters``: it was read from counters.
+    """
+    names = [f"_k{i}" for i in range(len(by))]
+    h = pick(rows, *by, value).toDF(*names, "_v").filter(usable("_v")).groupBy(*names, "_v").agg(F.count("*").alias("_c"))
+    cuts = F.explode(F.array(*[F.struct(F.lit(n).alias("percentile"), F.lit(q).alias("_q"), F.col(n).alias("_x")) for n, q in permille.items()])).alias("_p")
+    f = found.select(*[F.col(b).alias(f"_f{i}") for i, b in enumerate(by)], "n", "rank_error", cuts).select(*[f"_f{i}" for i in range(len(by))], "n", "rank_error", "_p.*")
+    on = F.lit(True)
+    for i in range(len(by)):
+        on = on & F.col(f"_k{i}").eqNullSafe(F.col(f"_f{i}"))
+    near = F.abs("_x") * 2.0**-19
+    ranks = h.join(f, on).groupBy(*names, "percentile", "_q", "n", "rank_error").agg(
+        F.sum(F.when(F.col("_v") < F.col("_x") - near, F.col("_c")).otherwise(0)).alias("_below"), F.sum(F.when(F.col("_v") <= F.col("_x") + near, F.col("_c")).otherwise(0)).alias("_upto"),
+    )
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("_q") / 1000))
+    slack = F.col("rank_error") * F.col("n") + 0.5
+    out = ranks.select(*names, "percentile", "n", (F.col("rank_error") > 0).alias("counters"), ((k > F.col("_below") - slack) & (k <= F.col("_upto") + slack)).alias("within"))
+    return out.withColumnsRenamed(dict(zip(names, by)))

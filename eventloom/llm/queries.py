@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventloom.llm import packing, percentiles, pii, splits, terms, tokenizer
 
@@ -17,6 +18,38 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.event_percentiles(_read(spark, d, "demo"))
 
 
+def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "demo").select("id", "time", "class", "text_value", "numeric_value").distinct()
+
+
+def p1_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the values of p1_percentiles keep the error they state."""
+    by = ["class", "text_value"]
+    return percentiles.rank_check(p1_percentiles(spark, d), _numbers(spark, d), by, "numeric_value", percentiles.PERMILLE)
+
+
+def p1_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """The same for percentiles by class, all read from counters, without pairs kept aside."""
+    found = percentiles.event_percentiles(_read(spark, d, "demo"), by=("class",), kept=0)
+    return percentiles.rank_check(found, _numbers(spark, d), ["class"], "numeric_value", percentiles.PERMILLE)
+
+
+def p1_days(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of separate days united, those of all rows at once, and all rows with one half of
+    the ids deleted again against the other half: equal results by class, since counters add up."""
+    rows, by = _numbers(spark, d), ["class"]
+    cuts = percentiles.PERMILLE
+    counted = lambda s: percentiles.quantiles(percentiles.merged(s, by, kept=0), by, cuts).select("class", "n", F.struct(*cuts).alias("q"))
+    days = counted(percentiles.daily_sketches(rows))
+    whole = percentiles.sketch(rows, by, "numeric_value")
+    half = rows.withColumn("w", F.lit(-1)).filter("coalesce(id, 0) % 2 = 0")
+    left = counted(whole.unionByName(percentiles.sketch(half, by, "numeric_value", "w")))
+    kept = counted(percentiles.sketch(rows.filter("coalesce(id, 0) % 2 <> 0"), by, "numeric_value"))
+    same = counted(whole).alias("a").join(days.alias("b"), F.expr("a.class <=> b.class")).select("a.class", "a.n", F.expr("a.q = b.q").alias("days_equal"))
+    gone = left.alias("a").join(kept.alias("b"), F.expr("a.class <=> b.class")).select(F.col("a.class").alias("_c"), F.col("a.n").alias("n_left"), F.expr("a.q = b.q and a.n = b.n").alias("deletion_equal"))
+    return same.join(gone, F.expr("class <=> _c")).drop("_c")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.event_terms(_read(spark, d, "demo")).filter("mark is not null").select("class", "term", "mark")
 
@@ -54,5 +87,5 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_percentiles, p4_found, p4_terms, p6_found, p6_splits, p8_ids, p8_decoded, p9_containers, p10_found, p10_masked]
+    found = [p1_percentiles, p1_within, p1_sketched, p1_days, p4_found, p4_terms, p6_found, p6_splits, p8_ids, p8_decoded, p9_containers, p10_found, p10_masked]
     return {f.__name__: f for f in found}

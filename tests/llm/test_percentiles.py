@@ -46,7 +46,7 @@ def test_counters_add_up_and_delete():
 
 def test_groups_days_and_deletions(spark):
     r = np.random.default_rng(6)
-    rows = [(g, d, float(x)) for g, n in (("small", 300), ("large", 20_000), (None, 5)) for d in range(3) for x in r.lognormal(2, 1, n)]
+    rows = [(g, d, float(x)) for g, n in (("small", 40), ("large", 20_000), (None, 5)) for d in range(3) for x in r.lognormal(2, 1, n)]
     df = spark.createDataFrame(rows, "g string, d int, x double").repartition(6)
     days = P.merged(P.sketch(df, ["g", "d"], "x"), ["g", "d"])
     whole = {x["g"]: x for x in P.quantiles(P.merged(days, ["g"]), ["g"], CUTS).collect()}
@@ -61,7 +61,7 @@ def test_groups_days_and_deletions(spark):
     gone = P.sketch(df.filter("d = 2").selectExpr("g", "x", "-1 as w"), ["g"], "x", "w")
     left = {x["g"]: x for x in P.quantiles(P.merged(days.drop("d").unionByName(gone), ["g"]), ["g"], CUTS).collect()}
     v = np.array([x for k, d, x in rows if k == "small" and d < 2])
-    assert left["small"]["n"] == 600 and left["small"]["p50"] == np.sort(v)[299]
+    assert left["small"]["n"] == 80 and left["small"]["p50"] == np.sort(v)[39]
 
 
 def test_odd_input(spark, events):
@@ -72,3 +72,14 @@ def test_odd_input(spark, events):
     clash = e.selectExpr("*", "1 as n", "2 as pairs", "3 as _v", "4 as day")
     assert rows_of(P.event_percentiles(clash, {"m": 500}), "class", "text_value", "n", "m", "rank_error") == got
     assert P.quantiles(P.merged(P.sketch(e.selectExpr("class", "numeric_value", "cast(0 as int) as w"), ["class"], "numeric_value", "w"), ["class"]), ["class"], CUTS).count() == 0
+
+
+def test_counters_for_every_group_and_their_check(spark):
+    r = np.random.default_rng(8)
+    rows = [(g, float(x)) for g, n in (("a", 400), ("b", 3), (None, 1)) for x in np.round(r.normal(50, 9, n), 1)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = P.quantiles(P.merged(P.sketch(df, ["g"], "x", kept=0), ["g"], kept=0), ["g"], CUTS)
+    checked = P.rank_check(got, df, ["g"], "x", CUTS).collect()
+    assert len(checked) == 9 and all(c["counters"] and c["within"] for c in checked)
+    off = got.withColumn("p50", got["p50"] * 1.5)
+    assert {(c["g"], c["within"]) for c in P.rank_check(off, df, ["g"], "x", CUTS).collect() if c["percentile"] == "p50"} == {("a", False), ("b", False), (None, False)}
