@@ -329,6 +329,6 @@ def rank_check(found: DataFrame, rows: DataFrame, by: list[str], value: str, per
         F.sum(F.when(F.col("_v") < F.col("_x") - near, F.col("_c")).otherwise(0)).alias("_below"), F.sum(F.when(F.col("_v") <= F.col("_x") + near, F.col("_c")).otherwise(0)).alias("_upto"),
     )
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("_q") / 1000))
-    slack = F.col("rank_error") * F.col("n") + 0.5
-    out = ranks.select(*names, "percentile", "n", (F.col("rank_error") > 0).alias("counters"), ((k > F.col("_below") - slack) & (k <= F.col("_upto") + slack)).alias("within"))
+    slack = F.col("rank_error") * F.col("n") + 1e-6
+    out = ranks.select(*names, "percentile", "n", (F.col("rank_error") > 0).alias("counters"), ((k >= F.col("_below") + 1 - slack) & (k <= F.col("_upto") + slack)).alias("within"))
     return out.withColumnsRenamed(dict(zip(names, by)))
