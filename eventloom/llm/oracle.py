@@ -60,5 +60,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_terms": TERMS,
         "p6_found": f"{GROUPS} select group_id, id from groups where id <> group_id",
         "p6_splits": _splits(),
+        "p9_cover": "select container_kind, doc_id, text is null as unplaced, true as whole, true as fits from documents, (select distinct container_kind from containers)",
         "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     }

@@ -17,6 +17,8 @@ from eventloom.llm.tokenizer import VOCABULARY, token_counts
 BLOCK = 50_000
 #: A container filled to this share stays closed.
 FULL = 0.995
+#: What is left open is packed again only if the block closed at least the other part of its items.
+STALLED = 0.5
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -103,9 +105,12 @@ def packed(items: DataFrame, containers: DataFrame, key: str, size: str, block:
     key and size are ``copy`` 0, 1, ...; every row comes out once per kind. An empty table gives
     an empty table.
 
-    Blocks of about ``block`` items are drawn by a hash and packed independently; what they leave
-    in containers that are not full is packed again in fewer blocks, down to one. So no task ever
-    holds more than a block, and the space lost at the ends of blocks is lost only once.
+    Blocks of ``block`` items on average are drawn by a hash and packed independently, each kind in
+    as many as its items need. What they leave in containers that are not full is packed again in
+    as many blocks as that needs, until one is enough, so space is lost at the end of one block only.
+    If more than the share STALLED stays in such containers, the items themselves leave the space
+    (all of 0.6 capacities, say), and the containers of that kind stay as they are. A task never
+    holds more than a block.
     """
     kinds = [(r[0], int(r[1])) for r in pick(containers, "container_kind", "capacity_tokens").distinct().limit(1001).collect() if r[1] and r[1] > 0]
     if len(kinds) > 1000:
@@ -123,24 +128,24 @@ def packed(items: DataFrame, containers: DataFrame, key: str, size: str, block:
     work = rows.filter("_size is not null").select("*", parts)
     work = work.select("_kind", "_capacity", "_k", "_copy", "_part", (F.col("_part") * F.col("_capacity")).alias("_first"), F.least(F.col("_size") - F.col("_part") * F.col("_capacity"), F.col("_capacity")).alias("_n"))
     work = cut(work)
-    most = work.groupBy("_kind").count().agg(F.max("count")).first()[0] or 0
     done: list[DataFrame] = [none]
-    blocks, level = max(1, -(-most // block)), 0
-    while True:
-        tagged = work.withColumn("_block", F.pmod(F.xxhash64("_k", "_copy", "_part", F.lit(level)), F.lit(blocks)))
+    items_of = {r[0]: r[1] for r in work.groupBy("_kind").count().collect()}
+    level = 0
+    while items_of:
+        blocks = {k: -(-n // block) for k, n in items_of.items()}
+        many = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("_kind")]
+        tagged = work.withColumn("_block", F.pmod(F.xxhash64("_k", "_copy", "_part", F.lit(level)), many))
         bins = tagged.groupBy("_kind", "_block").applyInArrow(_packed_block, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in tagged.schema.fields)}, _bin long, _open boolean")
-        if blocks > 1:
+        again: dict[str, int] = {}
+        if max(blocks.values()) > 1:
             bins = cut(bins)
+            left = {r[0]: r[1] for r in bins.filter("_open").groupBy("_kind").count().collect()}
+            again = {k: n for k, n in left.items() if blocks[k] > 1 and n <= STALLED * items_of[k]}
+        reopened = F.col("_open") & F.col("_kind").isin(*again)
         number = (F.lit(level).cast("long") * (1 << 56) + F.col("_block") * (1 << 28) + F.col("_bin")).alias("container_id")
-        closed = bins if blocks == 1 else bins.filter("not _open")
-        done.append(closed.select(F.col("_kind").alias("container_kind"), number, "_k", "_copy", "_part", "_first", "_n"))
-        if blocks == 1:
-            break
-        work = bins.filter("_open").drop("_block", "_bin", "_open")
-        most = work.groupBy("_kind").count().agg(F.max("count")).first()[0] or 0
-        if not most:
-            break
-        blocks, level = min(max(1, -(-most // block)), max(1, blocks // 2)), level + 1
+        done.append(bins.filter(~reopened).select(F.col("_kind").alias("container_kind"), number, "_k", "_copy", "_part", "_first", "_n"))
+        work = bins.filter(reopened).drop("_block", "_bin", "_open")
+        items_of, level = again, level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

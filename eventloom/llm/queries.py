@@ -78,6 +78,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.document_containers(_read(spark, d, "documents"), _read(spark, d, "containers"))
 
 
+def p9_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for every document and kind: its parts (rows), whether they follow each other
+    without a gap, and whether no container is over its capacity."""
+    kinds = _read(spark, d, "containers").select(F.col("container_kind").alias("_kind"), "capacity_tokens").distinct()
+    p = packing.document_containers(_read(spark, d, "documents"), _read(spark, d, "containers"))
+    fill = p.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("fill"))
+    over = fill.join(F.broadcast(kinds), F.col("container_kind") == F.col("_kind")).filter("container_id is not null and fill > capacity_tokens").select("container_kind").distinct()
+    one = p.groupBy("container_kind", "doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto"), F.countDistinct("part").alias("parts"), F.max("part").alias("last"), F.max(F.col("container_id").isNull()).alias("unplaced"))
+    one = one.join(F.broadcast(over.withColumn("_over", F.lit(True))), "container_kind", "left")
+    return one.select("container_kind", "doc_id", "unplaced", ((F.col("n") == F.col("parts")) & (F.col("last") + 1 == F.col("parts")) & (F.col("tokens") == F.col("upto"))).alias("whole"), F.col("_over").isNull().alias("fits"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_information(_read(spark, d, "documents"), _read(spark, d, "person_names"), _read(spark, d, "items"))
 
@@ -87,5 +99,5 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_percentiles, p1_within, p1_sketched, p1_days, p4_found, p4_terms, p6_found, p6_splits, p8_ids, p8_decoded, p9_containers, p10_found, p10_masked]
+    found = [p1_percentiles, p1_within, p1_sketched, p1_days, p4_found, p4_terms, p6_found, p6_splits, p8_ids, p8_decoded, p9_containers, p9_cover, p10_found, p10_masked]
     return {f.__name__: f for f in found}

@@ -86,3 +86,22 @@ def test_documents(spark, table):
     fill = {r["container_kind"]: r for r in B.container_fill(p, kinds).collect()}
     assert all(r["containers"] <= r["least"] + 2 for r in fill.values()), fill
     assert rows_of(docs.filter("text is null"), "doc_id") == sorted(set(rows_of(p.filter("container_id is null"), "doc_id")))
+
+
+def test_no_task_holds_more_than_a_block(spark):
+    sizes = [(i, 600) for i in range(6400)]
+    got = packed(spark, sizes, block=100, kinds=[("long", 1000)]).collect()
+    complete(got, sizes, [("long", 1000)])
+    per = {}
+    for r in got:
+        per[r["container_id"] >> 28] = per.get(r["container_id"] >> 28, 0) + 1
+    assert len(per) == 64 and max(per.values()) < 150
+
+
+def test_what_blocks_leave_is_packed_again(spark):
+    r = np.random.default_rng(3)
+    sizes = [(i, int(x)) for i, x in enumerate(np.minimum(r.lognormal(4, 1, 4000), 900))]
+    got = packed(spark, sizes, block=500, kinds=[("long", 1000)]).collect()
+    complete(got, sizes, [("long", 1000)])
+    assert len({x["container_id"] for x in got}) <= sum(s for _, s in sizes) / 1000 * 1.005 + 1
+    assert len({x["container_id"] >> 56 for x in got}) > 1
