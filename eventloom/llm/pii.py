@@ -33,12 +33,15 @@ TAGS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 TAG = {t: i for i, t in enumerate(TAGS)}
 REACH = 4
 #: What the tag of no information gives away: finds are checked afterwards, misses are not.
-LENIENCE = 1.0
+LENIENCE = 1.5
 #: Tokens of a window that count, and that are read before and behind them.
-CORE, MARGIN = 96, 24
+CORE, MARGIN = 320, 24
 #: Variants made of each labelled sentence, and passes over them in training.
-VARIANTS, PASSES, BATCH, RATE, DECAY = 14, 8, 200, 0.08, 2e-6
-#: Rows of a table of names or items that are used at most (the first in order).
+VARIANTS, PASSES, BATCH, RATE, DECAY = 10, 7, 200, 0.08, 2e-6
+#: Share of the tokens outside of spans whose word is hidden in a pass of training, so that shapes,
+#: tables and the rest of the surroundings must do without it.
+HIDDEN = 0.35
+#: Rows of a table of names or items; the recogniser is broadcast with them, and more are refused.
 GAZETTEER = 100_000
 
 TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+|\s+|.", regex.DOTALL)
@@ -55,19 +58,14 @@ def tokens_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     if not pieces:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-    out, at, before = [], [], "^"
-    for i, p in enumerate(pieces):
-        if p.isspace():
-            before = "^" if "\n" in p else "_"
-        else:
-            out.append(before + p)
-            at.append(i)
-            before = "."
-    at = np.array(at, np.int64)
-    return out, end[at] - np.array([len(t) - 1 for t in out], np.int64), end[at]
+    blank = [p.isspace() for p in pieces]
+    out = [("." if not c else "^" if "\n" in q else "_") + p for p, d, q, c in zip(pieces, blank, ["\n", *pieces], [True, *blank]) if not d]
+    at = np.flatnonzero(~np.array(blank))
+    return out, end[at] - np.fromiter(map(len, out), np.int64, len(out)) + 1, end[at]
 
 
-def features(token: str, given: set[str], family: set[str], brand: set[str]) -> list[str]:
+def features(token: str, given: set[str], family: set[str], brand: set[str], hidden: bool = False) -> list[str]:
+    """Names of a token's features; ``hidden``: without those that tell its word."""
     flag, s = token[0], token[1:]
     out = ["*", "f" + flag]
     c = s[0]
@@ -75,7 +73,9 @@ def features(token: str, given: set[str], family: set[str], brand: set[str]) ->
         low = AGAIN.sub(r"\1", s.lower())
         case = "X" if len(s) == 1 and c.isupper() else "XX" if s.isupper() else "Xx" if c.isupper() else "xx"
         size = min(len(s), 4)
-        out += ["w" + low[:24], "s" + case, f"n{case}{size}", "a" + low[:3], "z" + low[-3:], "y" + low[-4:], "sf" + case + flag]
+        out += ["s" + case, f"n{case}{size}", "sf" + case + flag]
+        if not hidden:
+            out += ["w" + low[:24], "a" + low[:3], "z" + low[-3:], "y" + low[-4:]]
         known = (low in given) * 1 + (low in family) * 2 + (low in brand) * 4
         out += [f"g{known}", f"gs{known}{case}"]
     elif c.isnumeric():
@@ -119,13 +119,16 @@ class Maker:
 
     def name(self) -> str:
         r = self.r
-        one = lambda known, other: r.choice(known) if r.random() < 0.62 else r.choice(other) if r.random() < 0.6 else self.word().capitalize()
-        g, f = one(self.given, self.other_given), one(self.family, self.other_family)
+        made = lambda: r.choice(table.FAMILY_STARTS.split()) + r.choice(table.FAMILY_ENDS.split()) if r.random() < 0.7 else self.word().capitalize()
+        one = lambda known, other, new: r.choice(known) if r.random() < 0.5 else r.choice(other) if r.random() < 0.55 else new()
+        given = lambda: one(self.given, self.other_given, lambda: self.word().capitalize())
+        family = lambda: one(self.family, self.other_family, made)
+        g, f = given(), family()
         form = r.random()
         if form < 0.12:
-            g = f"{g}-{one(self.given, self.other_given)}"
+            g = f"{g}-{given()}"
         elif form < 0.2:
-            f = f"{f}-{one(self.family, self.other_family)}"
+            f = f"{f}-{family()}"
         elif form < 0.32:
             g = f"{g} {g[0]}."
         elif form < 0.44:
@@ -248,17 +251,17 @@ class Field:
 
     def __init__(self, names: dict[str, int], given: set[str], family: set[str], brand: set[str]):
         self.names, self.given, self.family, self.brand = names, given, family, brand
-        self.w = np.zeros((2 * REACH + 1, len(names), len(TAGS)))
+        self.w = np.zeros((2 * REACH + 1, len(names), len(TAGS)), np.float32)
         self.t = np.where(_allowed(), 0.0, -1e4)
         self.start = np.where([t[0] == "I" for t in TAGS], -1e4, 0.0)
 
-    def ids(self, token: str) -> list[int]:
+    def ids(self, token: str, hidden: bool = False) -> list[int]:
         names = self.names
-        return [i for f in features(token, self.given, self.family, self.brand) if (i := names.get(f)) is not None]
+        return [i for f in features(token, self.given, self.family, self.brand, hidden) if (i := names.get(f)) is not None]
 
     def scores(self, lists: list[list[int]]) -> np.ndarray:
         """For each token type its share in the score at each place: (places, types, tags)."""
-        flat = np.fromiter((i for x in lists for i in x), np.int64)
+        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         begin = np.r_[0, np.cumsum(n)[:-1]] if len(n) else n
         return np.stack([np.add.reduceat(self.w[o][flat], begin, axis=0) for o in range(2 * REACH + 1)]) if len(flat) else np.zeros((2 * REACH + 1, len(lists), len(TAGS)))
@@ -267,7 +270,7 @@ class Field:
 def _emissions(parts: np.ndarray, types: np.ndarray) -> np.ndarray:
     """Scores at the places of padded windows of token types (-1: none); (rows, length, tags)."""
     rows, length = types.shape
-    with_none = np.concatenate([parts, np.zeros((parts.shape[0], 1, parts.shape[2]))], axis=1)
+    with_none = np.concatenate([parts, np.zeros((parts.shape[0], 1, parts.shape[2]), parts.dtype)], axis=1)
     padded = np.pad(types, ((0, 0), (REACH, REACH)), constant_values=-1)
     e = with_none[0][padded[:, :length]].copy()
     for o in range(1, 2 * REACH + 1):
@@ -315,7 +318,8 @@ def train(given: list[str], family: list[str], brands: list[str], items: list[st
             seen[x] = seen.get(x, 0) + 1
     names = {x: i for i, x in enumerate(sorted(seen))}
     field = Field(names, g, f, b)
-    lists = [field.ids(w) for w in types]
+    # each type once as it is and once with its word hidden
+    lists = [np.array(field.ids(w, h), np.int64) for h in (False, True) for w in types]
     order = np.random.default_rng(seed)
     ok = _allowed()
     n_w, m_w, v_w = 0, np.zeros_like(field.w), np.zeros_like(field.w)
@@ -331,6 +335,7 @@ def train(given: list[str], family: list[str], brands: list[str], items: list[st
             for i, (w, t) in enumerate(rows):
                 x[i, : len(w)] = [at[q] for q in w]
                 y[i, : len(t)] = t
+            x[(x >= 0) & (y == 0) & (order.random(x.shape) < HIDDEN)] += len(types)
             used, small = np.unique(x, return_inverse=True)
             small = small.reshape(x.shape)
             if used[0] == -1:
@@ -342,46 +347,57 @@ def train(given: list[str], family: list[str], brands: list[str], items: list[st
             m[live, y[live]] -= 1
             both = live[:, 1:]
             np.subtract.at(pairs, (y[:, :-1][both], y[:, 1:][both]), 1)
-            flat = np.fromiter((i for q in mine for i in q), np.int64)
+            flat = np.concatenate(mine)
             owner = np.repeat(np.arange(len(mine)), [len(q) for q in mine])
             by_name = np.argsort(flat, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(flat[by_name]) != 0])
             hit = flat[by_name][cuts]
             n_w += 1
             rate = RATE * (1 - step / PASSES) * (1 - 0.999**n_w) ** 0.5 / (1 - 0.9**n_w)
+            per_type = np.empty((2 * REACH + 1, len(mine), len(TAGS)), np.float32)
             for o in range(2 * REACH + 1):
                 d = o - REACH
                 to = small[:, max(0, d) : length + min(0, d)]
                 from_ = m[:, max(0, -d) : length + min(0, -d)]
                 k = to >= 0
-                per_type = np.stack([np.bincount(to[k], weights=from_[k][:, c], minlength=len(mine)) for c in range(len(TAGS))], axis=1)
-                grad = np.add.reduceat(per_type[owner[by_name]], cuts, axis=0) / len(rows)
-                grad += DECAY * field.w[o][hit]
-                m_w[o][hit] = 0.9 * m_w[o][hit] + 0.1 * grad
-                v_w[o][hit] = 0.999 * v_w[o][hit] + 0.001 * grad**2
-                field.w[o][hit] -= rate * m_w[o][hit] / (np.sqrt(v_w[o][hit]) + 1e-8)
+                cell = (to[k][:, None] * len(TAGS) + np.arange(len(TAGS))).ravel()
+                per_type[o] = np.bincount(cell, weights=from_[k].ravel(), minlength=len(mine) * len(TAGS)).reshape(len(mine), len(TAGS))
+            now = field.w[:, hit]
+            grad = np.add.reduceat(per_type[:, owner[by_name]], cuts, axis=1) / np.float32(len(rows)) + np.float32(DECAY) * now
+            first, second = 0.9 * m_w[:, hit] + 0.1 * grad, 0.999 * v_w[:, hit] + 0.001 * grad**2
+            m_w[:, hit], v_w[:, hit] = first, second
+            field.w[:, hit] = now - np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-8))
             grad = pairs / len(rows)
             m_t, v_t = 0.9 * m_t + 0.1 * grad, 0.999 * v_t + 0.001 * grad**2
             field.t = np.where(ok, field.t - rate * m_t / (np.sqrt(v_t) + 1e-8), -1e4)
-    field.w = field.w.astype(np.float32)
     return field
 
 
 def viterbi(e: np.ndarray, size: np.ndarray, t: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Best tags of padded sequences (rows, length)."""
+    """Best tags of padded sequences (rows, length). Going forward only the scores of the best ways
+    are kept; which tag a way came from is looked up for the best way when going back."""
     rows, length, k = e.shape
-    best = e[:, 0] + start
-    back = np.zeros((rows, length, k), np.int8)
+    to = t.astype(e.dtype)
+    best = np.empty((length, rows, k), e.dtype)
+    best[0] = e[:, 0] + start
+    one = np.empty((rows, k), e.dtype)
     for i in range(1, length):
-        all_ = best[:, :, None] + t[None]
-        back[:, i] = all_.argmax(1)
-        new = all_.max(1) + e[:, i]
-        best = np.where((i < size)[:, None], new, best)
+        new = best[i]
+        np.add(best[i - 1, :, :1], to[0], out=new)
+        for j in range(1, k):
+            np.add(best[i - 1, :, j : j + 1], to[j], out=one)
+            np.maximum(new, one, out=new)
+        new += e[:, i]
+        over = i >= size
+        new[over] = best[i - 1, over]
     out = np.zeros((rows, length), np.int64)
-    tag = best.argmax(1)
+    tag = best[length - 1].argmax(1)
+    back = to.T.copy()
     for i in range(length - 1, -1, -1):
-        out[:, i] = np.where(i < size, tag, 0)
-        tag = np.where((i < size) & (i > 0), back[np.arange(rows), i, tag], tag)
+        inside = i < size
+        out[:, i] = np.where(inside, tag, 0)
+        if i:
+            tag = np.where(inside, (best[i - 1] + back[tag]).argmax(1), tag)
     return out
 
 
@@ -417,8 +433,11 @@ class Recogniser:
                 windows.append((at + max(0, c - MARGIN), at + min(len(t), c + CORE + MARGIN), at + c, at + min(len(t), c + CORE)))
             at += len(t)
         windows.sort(key=lambda w: w[1] - w[0])
-        for i in range(0, len(windows), 2000):
-            part = windows[i : i + 2000]
+        begin = 0
+        while begin < len(windows):
+            # sorted by size, so the windows of a part are about equally long
+            part = windows[begin : begin + max(1, 250_000 // (windows[begin][1] - windows[begin][0]))]
+            begin += len(part)
             size = np.array([b - a for a, b, _, _ in part])
             x = np.full((len(part), int(size.max())), -1)
             for j, (a, b, _, _) in enumerate(part):
@@ -476,6 +495,7 @@ ADDRESSES = [
 ]
 
 #: Words that the labelled sentences write in lower case outside of spans.
+OTHER_NAMES = {w.lower() for w in f"{table.OTHER_GIVEN} {table.OTHER_FAMILY}".split()}
 PLAIN_WORDS = {w for line in table.SENTENCES.split("\n") for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", Maker.SPAN.sub(" ", line)) if w == w.lower()}
 
 
@@ -522,7 +542,7 @@ def checked(text: str, a: int, b: int, kind: str, field: Field) -> tuple[int, in
         if m and (twice := TWICE.fullmatch(m[0])):
             m = NUMBER.search(text, m.start(), m.start() + twice.end(1))
         digits = sum(c.isnumeric() for c in m[0]) if m else 0
-        return (m.start(), m.end(), kind) if m and 4 <= digits <= 16 and 7 <= sum(c.isalnum() for c in m[0]) <= 18 else None
+        return (m.start(), m.end(), kind) if m and not MOMENT.match(m[0]) and 4 <= digits <= 16 and 7 <= sum(c.isalnum() for c in m[0]) <= 18 else None
     s = text[a:b]
     a += len(s) - len(FIRST.sub("", s))
     s = FIRST.sub("", s)
@@ -544,6 +564,9 @@ def checked(text: str, a: int, b: int, kind: str, field: Field) -> tuple[int, in
     known = lambda w: w.lower() in field.given or w.lower() in field.family
     if any(len(w) > 1 and not known(w) and (AGAIN.sub(r"\1", w.lower()) in PLAIN_WORDS or (w[0].islower() and end != end.lower())) for w in words):
         return None
+    # in small letters throughout only a known name shows that it is one
+    if end == end.lower() and not any(known(w) or w.lower() in OTHER_NAMES for w in words):
+        return None
     if twice := TWICE.fullmatch(end):
         end = twice[1]
     # a letter behind a number belongs to the number
@@ -574,9 +597,12 @@ def _trained(given: tuple[str, ...], family: tuple[str, ...], brands: tuple[str,
 
 def recogniser_field(person_names: DataFrame, items: DataFrame) -> Field:
     """The trained field for tables of names (``name, kind``) and items (``item_name, brand``), of
-    each at most GAZETTEER distinct entries. Trained once a session for the same tables."""
-    names = pick(person_names, "name", "kind").filter("name is not null").distinct().orderBy("name", "kind").limit(GAZETTEER).collect()
-    goods = pick(items, "item_name", "brand").distinct().orderBy("item_name", "brand").limit(GAZETTEER).collect()
+    each at most GAZETTEER distinct entries: they are definitions, and larger tables are refused.
+    Trained once a session for the same tables."""
+    names = pick(person_names, "name", "kind").filter("name is not null").distinct().limit(GAZETTEER + 1).collect()
+    goods = pick(items, "item_name", "brand").distinct().limit(GAZETTEER + 1).collect()
+    if max(len(names), len(goods)) > GAZETTEER:
+        raise ValueError(f"a table of names or items has more than {GAZETTEER} rows")
     version = hashlib.md5(table.SENTENCES.encode()).hexdigest()
     of = lambda kind: tuple(sorted({r["name"] for r in names if r["kind"] == kind}))
     return _trained(of("given"), of("family"), tuple(sorted({r["brand"] for r in goods if r["brand"]})), tuple(sorted({r["item_name"] for r in goods if r["item_name"]})), version)

@@ -410,6 +410,183 @@ Support never answered about the app. It gets hot, very cheap.
 I compared it with the old smart scale I had. Comfortable handle, accurate price.
 12 months on, still fine. 40 hours, 3 of 5 parts.
 café &amp; more dÃ©jÃ vu $$$ 👍👍 🙂
+If anything is unclear you can ring [phone|+44 20 7946 0114] until nine.
+My landline, [phone|(740) 555-0113], was dead that week.
+They should phone [phone|607-555-0179], not my office.
+Please dial [phone|020 7946 0720] and ask for the front desk.
+His cell phone is [phone|734.555.0156] in case you need it.
+Best to try [phone|07700 900493] in the morning.
+Leave a voicemail at [phone|+1 462 555 0184] and I will answer.
+My old fax [phone|0117 496 0111] still works.
+I gave the agent two numbers, [phone|985-555-0175] and [phone|07700 900111].
+Contact details: [phone|+447700900592]
+Mobile: [phone|07700 900111]
+You'll get me under [phone|12035550126] most days.
+Someone called from [phone|943.555.0180] and hung up.
+Tel: [phone|16665550152]
+Tel [phone|020 7946 0805]
+SMS to [phone|19705550100] works too.
+Her phone number was given as [phone|555-010-956].
+Meine Handynummer lautet [phone|0176 04069088].
+Sie können mich unter der Nummer [phone|+49 30 23125496] anrufen.
+Rückruf erbeten: [phone|(030) 23125-928]
+Telefonisch bin ich über [phone|040 66969 771] zu erreichen.
+Festnetz [phone|0221/4710053], abends.
+Mon portable : [phone|06.39.98.25.53]
+Vous pouvez me joindre au [phone|01 99 00 05 42] le soir.
+Appelez le [phone|+33 6 39 98 98 04] avant midi.
+On m'a laissé un message sur le [phone|0199000769].
+Mi teléfono es el [phone|555 010 891].
+Pueden llamarme al móvil [phone|+34 555 01 01 26] por la tarde.
+Marquen el [phone|555-010-956] y pregunten por mí.
+His passport number is [id_number|K000330933].
+The receptionist wrote down my health card number [id_number|947-41-8327].
+Tax id [id_number|910112382] had to be entered twice.
+Driver's licence [id_number|K000330934] was copied without asking.
+Member number at my insurer: [id_number|QQ315351A].
+My NI number is [id_number|QQ 94 25 29 A].
+NHS number [id_number|960 11 1234] appears on the label.
+The form already showed my medical record number, [id_number|925-39-0580].
+Medicare id [id_number|934139132]
+They read out my social security number, [id_number|926-25-2394], in front of everyone.
+The hospital file [id_number|947 38 4293] is mine.
+Identity card [id_number|L0F433797] was scanned at the door.
+Meine Sozialversicherungsnummer [id_number|T12562186] musste ich nennen.
+Die Krankenkasse kennt mich als [id_number|X000745404].
+Reisepass [id_number|L0H265765] lag dabei.
+Personalausweis Nr. [id_number|M000935024] wurde kopiert.
+Mon passeport porte le numéro [id_number|906139958945610].
+Carte vitale [id_number|9 48 13 99 682 397 33] demandée au guichet.
+Numéro d'assuré : [id_number|944139993520149]
+Mi pasaporte es el [id_number|X0009839A].
+Número de la seguridad social [id_number|00.003.289-G] en el sobre.
+NIE [id_number|X0000689M] y firma.
+My e-mail is [email|noor81@inbox.test] for replies.
+Reply to [email|ulla-ilvard68＠example . com] please.
+You can reach us through [email|oona.brelard+shop@post.example.net].
+The confirmation was sent to [email|quinard_leocadia@inbox.test] twice.
+Email: [email|vdralstrom [at] example [dot] com]
+I signed up with [email|mheskez @ post.example.net] back then.
+Schreiben Sie bitte an [email|jorun.gansowski+shop@home.invalid].
+Kontakt per Mail: [email|halvard75@example.org]
+Répondez à [email|anouk.heskley@post.example.net] merci.
+Mon courriel : [email|rstavlin@home.invalid]
+Contáctenme en [email|kenji62@uni.example.edu] cuando puedan.
+My correspondent [name|Teodor Tholmann] wrote the first part.
+A technician named [name|Ruben Ruskière] came by.
+The engineer, [name|Kenji Dralova], replaced the seal.
+Our physiotherapist [name|Orla Gansick] recommended it.
+Written by [name|Nadja D. Pralley].
+Customer: [name|Saskia Stavowski]
+Regards, [name|Hedda Gansick]
+Best wishes [name|Oona Pralick]
+Yours sincerely, [name|T. Sorbick]
+Mr. [name|Emre Pralström] never answered.
+Mrs [name|Dagny Stavmann] lives upstairs and has the same one.
+Miss [name|Lucía Tholmann] at reception knew the answer.
+Professor [name|Elspeth B. Olbière] mentioned it in class.
+According to [name|Wilhelmina Ganslin], it is normal.
+My colleague [name|Chidi Ilvmann] borrowed it for a week.
+My sister-in-law, [name|Fenna B. Quinez], laughed about it.
+I bought it together with [name|Rafe Olbley] last year.
+[name|Priya Nestmann] answered my call and solved it.
+The delivery was signed for by [name|N. Nestlin].
+Registered to [name|Karrova, Chidi].
+Patient: [name|Ulmowski, Nadja]
+[name|Mirek Olbard] told me to write this.
+When [name|Hunter Mondez] visited, it stopped.
+We asked [name|Pascale H. Ilvlin] for advice.
+Herr [name|Dario Tarnick] hat den Vertrag unterschrieben.
+Unsere Pflegerin [name|Xenia Tarnard] zeigte es mir.
+Mit freundlichen Grüßen [name|Priya Nest]
+Dank [name|Emre Heskova] läuft es wieder.
+Die Rechnung ging auf den Namen [name|Petra Ruskley].
+Monsieur [name|S. Mondière] m'a rappelé.
+Ma collègue [name|Anouk Tholowski] en possède un.
+Cordialement, [name|Rose Stavick]
+La señora [name|Tomas L. Ruskowski] me lo explicó.
+Mi vecino [name|Mark Quinière] tiene otro.
+Atentamente, [name|V. Stavova]
+My home address is [address|217 E. Juniper Close].
+Ship it to [address|147 Harrowmere Street, Apt 9B] this time.
+The parcel went to [address|80 N. Twelfth Blvd] by mistake.
+We have lived at [address|37 Bramley Way, Flat 35C] since May.
+Our house, [address|109b bramley blvd], has no bell.
+Just moved to [address|42 Juniper Close, # 18] and love it.
+Billing address: [address|131 Saint Orrin Lane, Unit 30C]
+Mail for me goes to [address|PO Box 4822].
+The shop knows [address|50 N. Saint Orrin Street] as my place.
+Next door to [address|17 Kestrel Close] there is a depot.
+The driver waited near [address|206 Saint Orrin Road].
+Residence: [address|48c kestrel lane]
+Meine Anschrift: [address|Ahornstraße 157b]
+Wir wohnen jetzt in der [address|Lindenstr. 83].
+Das Paket lag vor dem Haus [address|Haselgasse 45].
+Umgezogen in den [address|Ahornweg 49] im März.
+Adresse : [address|204 bis, chemin du Moulin]
+J'habite [address|107, rue du Moulin] depuis mai.
+Nous avons déménagé au [address|175 avenue des Aubépines].
+Mi dirección es [address|Calle Alameda nº 32].
+Vivimos en la [address|Avenida de los Pinos, 113].
+Lo dejaron en [address|Plaza del Olmo, 24] sin avisar.
+Invoice number [code|A2071949] was missing.
+Tracking number [code|4765468388] never updated.
+The article [code|920-40-5721] is sold out.
+Ticket [code|842 6303 51] is still open.
+Reference [code|3528-709-7988] on the receipt.
+Product code [code|QX 35 55 25 H] on the label.
+Barcode [code|1234567890123] under the lid.
+Device id [code|SN84294301] is shown in the menu.
+Rechnung [code|938 3135 25] kam doppelt.
+Artikel [code|963-20-1168] ist ausverkauft.
+Facture [code|1060-562-6181] jointe.
+Factura [code|9267365526] adjunta.
+Chargennummer [code|490 9463 14] steht unten.
+A nurse named [name|Ulla Ilvard] said the same, and so did [name|Otto Weber].
+Another customer, [name|Carmen Torres], warned me.
+Last week [name|George Hall] sold his.
+Only [name|Claude Moreau] knows how to set it.
+The name on it was [name|Heike Neumann].
+My wife [name|Donna Clark] and my son [name|Kevin Clark] use it too.
+Both [name|Pavel Nowak] and [name|Olga Petrova] agree.
+Is [name|James T. Walker] from support real?
+Regional manager [name|Brian Young] apologised.
+Dr. [name|Birgit Richter] hat es verschrieben.
+Der Fahrer, [name|Uwe Schulz], war freundlich.
+Laut [name|Sabine Koch] ist das normal.
+Avec [name|Julien Leroy], tout est allé vite.
+Le docteur [name|Sylvie Durand] me l'a conseillé.
+J'ai vu [name|Pierre Bernard] au magasin.
+La doctora [name|Pilar Sánchez] lo recomienda.
+Con [name|Javier Ramírez] todo fue fácil.
+El técnico fue [name|Sergio Pérez].
+The number is [phone|07700 900111] and nothing else.
+Then I dialled [phone|020 7946 0805] again and again.
+Office line [phone|(740) 555-0113], private [phone|+447700900592].
+Use [phone|07700900111] if the door is locked.
+Unter [phone|0176 04069088] meldet sich keiner.
+Au [phone|06.39.98.25.53] ça ne répond pas.
+Al [phone|555 010 891] no contesta nadie.
+Why print my insurance number [id_number|934-13-9132] on the bag?
+My clinic id is [id_number|947 38 4293] since May.
+Passport [id_number|910112382] expired, they refused.
+Le numéro de ma carte d'identité, [id_number|937139920386210], figure dessus.
+Das Paket stand vor der [address|Haselgasse 45] im Regen.
+Zwischen [address|Gartenweg 9] und dem Laden liegt der Park.
+Someone on [address|44 Foxglove Road] has my parcel.
+Devant le [address|12 place de la Gare] il pleuvait.
+In Summer Road Trips it was great, 12 Street Lights helped.
+Customer Service was friendly and Quality Control too.
+Thank You so much, Dear Seller. Happy New Year!
+The Battery Cover and the User Manual came separately.
+Bluetooth Low Energy works on Android Phone and on the iPad.
+I read Consumer Reports and the New York Times before.
+Von der Deutschen Post kam nichts. Guten Tag und vielen Dank.
+La Poste a perdu le colis. Bonne journée à tous.
+Buenos días, el Servicio Técnico respondió pronto.
+My Mother, my Father and Aunt used it in Room 12 on Floor 3.
+Between 2019 and 2023 I had 3 of them, 100-200 uses each.
+Measured 120/80 at 7:30, 118/79 at 21:45, pulse 64.
 """
 
 # How numbers of each kind are written; d is any digit, A any capital letter. Forms
@@ -475,6 +652,8 @@ X000dddddd
 X000ddddA
 00.00d.ddd-A
 ddddddddA
+ddddddddd
+Adddddddd
 """
 CODES = """\
 QX dd dd dd A
@@ -491,6 +670,8 @@ Addddddd
 ddddddddddddd
 QQddddddA
 ddd-555-dddd
+ddddddddd
+ddd dddd dd
 """
 # Parts of addresses. A trailing + joins the next part.
 STREETS = """\
@@ -509,7 +690,7 @@ High
 Second
 """
 ROADS = "Street St. Road Rd Lane Ave Avenue Blvd Way Close Crescent Drive Court"
-GERMAN = "Ahorn+ Linden+ Brunnen+ Mühl+ Hasel+ Garten+ Schul+"
+GERMAN = "Ahorn+ Linden+ Brunnen+ Mühl+ Hasel+ Garten+ Schul+ Berg+ Kirch+ Wald+ Birken+ Dorf+ Bach+ Sonnen+"
 GERMAN_ROADS = "straße str. weg gasse allee platz"
 GERMAN_WHOLE = ["Am Hang", "Am Weiher", "Am Steinbruch", "Im Tal"]
 FRENCH = ["des Aubépines", "du Moulin", "de la Fontaine", "des Tilleuls", "de la Gare"]
@@ -517,7 +698,19 @@ FRENCH_ROADS = "rue avenue bd chemin boulevard place"
 SPANISH = ["del Olmo", "Alameda", "de la Noria", "de los Pinos", "Mayor"]
 SPANISH_ROADS = "Calle Plaza C/ Avenida Paseo"
 DOMAINS = "inbox.test example.org example.com post.example.net mail.example home.invalid uni.example.edu"
-# Names that a table of names may lack, and syllables for others.
-OTHER_GIVEN = "Signe Vasil Osric Ilka Célia Lucía Greta Isandro Ysolde Mark Rose Dagny Yusuf Tarek Lena Pavel Mina Otto"
-OTHER_FAMILY = "Mondez Quinard Brelström Stavmann Ulmova Nestmann Heskström Marden Koslin Vartan Oberlo"
+# Names that a table of names may lack (everyday names of several languages, and
+# parts that family names are made of), and syllables for others.
+OTHER_GIVEN = (
+    "Signe Vasil Osric Ilka Célia Lucía Greta Isandro Ysolde Mark Rose Dagny Yusuf Tarek Lena Pavel Mina Otto James Robert Patricia Jennifer Michael Linda David Susan Karen Daniel Nancy "
+    "Matthew Sandra Ashley Steven Kimberly Andrew Donna Joshua Michelle Kevin Carol Brian Amanda Dorothy George Deborah Hans Klaus Jürgen Wolfgang Ursula Monika Sabine Birgit Heike Stefan "
+    "Uwe Jean Pierre Michel Claude Nathalie Isabelle Sylvie Catherine Françoise Julien Antoine José Manuel Francisco María Carmen Josefa Dolores Pilar Javier Sergio Giulia Marco Paolo Sofia "
+    "Aisha Omar Fatima Wei Ming Yuki Hiroshi Priyanka Rahul Olga Dmitri Agnieszka Piotr"
+)
+OTHER_FAMILY = (
+    "Mondez Quinard Brelström Stavmann Ulmova Nestmann Heskström Marden Koslin Vartan Oberlo Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson Harris Clark "
+    "Lewis Walker Hall Young Allen Wright Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Richter Klein Wolf Neumann Martin Bernard Dubois Durand Leroy Moreau "
+    "Laurent Simon Lefebvre Garcia Rodríguez Martínez Hernández López González Pérez Sánchez Ramírez Torres Rossi Ferrari Nowak Kowalska Ivanov Petrova Chen Nguyen Patel Khan Okafor Mensah"
+)
+FAMILY_STARTS = "Ald Bar Bern Black Brook Car Clay Cross Dal East Fair Fern Gold Green Grim Hart Hay Hazel Hol Kirch Lang Lund Mar Mill Nord Oak Pem Rad Red Ros Schön Sil Stan Steg Thorn Vil Wald West Whit Win Wood"
+FAMILY_ENDS = "berg bach born brook bury croft dale der ell feld field ford gate ham hurst land ley lin lock man mann more quist sen shaw son stein stone strom ton ville wald ward well wick wood worth eau ier ard ot ez era aga ova ski"
 SYLLABLES = "ba ru mi vo gly dra sten fen ix ke lor qua te zi on mo sa bel tor"

@@ -1,3 +1,6 @@
+import pathlib
+import re
+
 import numpy as np
 import pytest
 from conftest import rows_of
@@ -53,6 +56,18 @@ def test_held_out_accuracy(field):
     assert hit >= 0.9 * all_ and extra <= 1, [(g, w) for g, w in zip(got, want) if g != w]
 
 
+def test_other_wording(field):
+    """Sentences none of whose wording is in the labelled table or the documents. Settings were
+    chosen with a view to them, so the shares are those of a development set."""
+    span = re.compile(r"\[(email|phone|id_number|address|name|code)\|((?:[^\[\]]|\[(?:at|dot)\])*)\]")
+    hit = all_ = extra = 0
+    for line in (pathlib.Path(__file__).parent / "carriers.txt").read_text(encoding="utf-8").splitlines():
+        want = {(m[1], m[2]) for m in span.finditer(line) if m[1] != "code"}
+        got = found(field, [span.sub(lambda m: m[2], line)])[0]
+        hit, all_, extra = hit + len(got & want), all_ + len(want), extra + len(got - want)
+    assert hit >= 0.75 * all_ and extra <= 0.05 * (hit + extra), (hit, all_, extra)
+
+
 def test_same_tables_same_model(field, table):
     again = P.train(sorted({r["name"] for r in table("person_names").collect() if r["kind"] == "given"}), sorted({r["name"] for r in table("person_names").collect() if r["kind"] == "family"}), sorted({r["brand"] for r in table("items").collect()}), sorted({r["item_name"] for r in table("items").collect()}))
     assert np.allclose(again.w, field.w, atol=1e-4)
@@ -92,3 +107,9 @@ def test_tables(spark, table):
     masked = {r["doc_id"]: r["text"] for r in P.without_personal_information(docs, names, items).collect()}
     assert masked[1] == "Thanks to [NAME] for the quick help.\n Call me on [PHONE] after six. Call me on [PHONE] after six." and masked[2] is None and masked[3] == ""
     assert P.personal_information(docs.limit(0), names, items).count() == 0
+
+
+def test_large_tables_are_refused(spark, table, monkeypatch):
+    monkeypatch.setattr(P, "GAZETTEER", 3)
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        P.recogniser_field(table("person_names"), table("items"))
