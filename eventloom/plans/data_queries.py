@@ -47,12 +47,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(read(spark, d, "demo"), read(spark, d, "plausible_limits"))
 
 
+def p5_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds that a rule defines: impossible and stuck."""
+    return p5_found(spark, d).filter("kind <> 'spike'")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.stay_periods(read(spark, d, "demo"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_values, p2_graph, p3_features, p3_cells, p3_totals, p5_found, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_values, p2_graph, p3_features, p3_cells, p3_totals, p5_found, p5_rules, p7_found)}
 
 
 PERIODS = """
@@ -101,5 +106,16 @@ TOTALS = """
       round(sum(case when numeric_value is not null and not isnan(numeric_value) then numeric_value else 0.0 end), 4) as total from d, a group by id"""
 
 
+RULES = """
+    with r as (select id, time, text_value, numeric_value as v, min(_src) as src from demo
+      where class = 'vital' and text_value is not null and numeric_value is not null and not isnan(numeric_value) group by id, time, text_value, numeric_value),
+    k as (select r.*, low, high from r join plausible_limits l on lower(trim(split_part(text_value, ':', 1))) = lower(trim(quantity))),
+    o as (select *, row_number() over (partition by id, text_value order by time, src) - row_number() over (partition by id, text_value, v order by time, src) as island,
+        min(v) over (partition by id, text_value) <> max(v) over (partition by id, text_value) as varied from k where time is not null),
+    n as (select src, varied, count(*) over (partition by id, text_value, v, island) as run from o)
+    select src, 'impossible' as kind from k where v < low or v > high
+    union all select src, 'stuck' from n where varied and run >= 8"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _found_units(), "p2_graph": "select distinct site, quantity, unit from site_units", "p3_totals": TOTALS, "p7_found": PERIODS}
+    return {"p2_found": _found_units(), "p2_graph": "select distinct site, quantity, unit from site_units", "p3_totals": TOTALS, "p5_rules": RULES, "p7_found": PERIODS}

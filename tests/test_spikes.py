@@ -1,7 +1,7 @@
 import numpy as np
 from conftest import rows_of
 
-from eventloom.operators.spikes import flag_source, implausible
+from eventloom.operators.spikes import _stuck, flag_source, implausible
 
 
 def series(n, seed=0, level=80.0, sd=2.0):
@@ -66,3 +66,26 @@ def test_a_hot_source_in_cells_gives_what_one_piece_gives(spark, events):
     e = events(rows + [(8, "2021-01-01", "vital", "heart_rate", 80)])
     whole = rows_of(implausible(e, limits), "src", "kind")
     assert len(whole) > 90 and rows_of(implausible(e, limits, cell_rows=400), "src", "kind") == whole
+
+
+def test_cells_use_the_scatter_of_the_source(spark, events):
+    """Calm in one half, noisy in the other: cut in cells, the same readings are flagged."""
+    limits = spark.createDataFrame([("heart_rate", 20.0, 250.0)], "quantity string, low double, high double")
+    v = np.r_[series(1500, 7, sd=0.5), series(1500, 8, sd=5.0)]
+    v[200:2800:130] += 30
+    v[205:2805:260] += 6
+    rows = [(7, f"2021-01-{1 + k // 720:02d}T{k % 720 // 60:02d}:{k % 60:02d}:00", "vital", "heart_rate", float(x)) for k, x in enumerate(v)]
+    e = events(rows)
+    one = rows_of(implausible(e, limits), "src", "kind")
+    assert len(one) > 5 and rows_of(implausible(e, limits, cell_rows=250), "src", "kind") == one
+
+
+def test_vanishing_innovation_variance_against_runs():
+    r = np.random.default_rng(9)
+    for _ in range(50):
+        v = np.repeat(r.integers(0, 3, 60) / 10 + 70, r.integers(1, 13, 60))
+        edge = np.r_[0, np.flatnonzero(np.diff(v) != 0) + 1, len(v)]
+        want = np.zeros(len(v), bool)
+        for a, b in zip(edge[:-1], edge[1:]):
+            want[a:b] = b - a >= 8
+        assert (_stuck(v) == want).all()
