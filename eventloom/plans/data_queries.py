@@ -36,11 +36,17 @@ def p3_cells(spark: SparkSession, d: str) -> DataFrame:
     return entity_features.feature_cells(read(spark, d, "demo"), read(spark, d, "units"))
 
 
+def p3_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The cells with every name as a type of its own, misspellings too."""
+    c = entity_features.feature_cells(read(spark, d, "demo"), read(spark, d, "units"), fold=False)
+    return c.select("id", "type", "n", F.coalesce("since_s", F.lit(-1).cast("long")).alias("since_s"), (F.round("total", 4) + 0.0).alias("total"))
+
+
 def p3_totals(spark: SparkSession, d: str) -> DataFrame:
     """The features of each id added up over the types."""
     f = entity_features.entity_features(read(spark, d, "demo"), read(spark, d, "units"))
     add = lambda c, start: F.aggregate(c, F.lit(start).cast("long" if isinstance(start, int) else "double"), lambda a, x: a + x)
-    return f.select("id", "n_rows", add(F.transform("n", lambda x: x.cast("long")), 0).cast("long").alias("n"), F.array_min("since_s").alias("since_s"), F.round(add("total", 0.0), 4).alias("total"))
+    return f.select("id", "n_rows", add(F.col("n"), 0).cast("long").alias("n"), F.array_min("since_s").alias("since_s"), F.round(add("total", 0.0), 4).alias("total"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +63,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_values, p2_graph, p3_features, p3_cells, p3_totals, p5_found, p5_rules, p7_found)}
+    return {f.__name__: f for f in (p2_found, p2_values, p2_graph, p3_features, p3_cells, p3_plain, p3_totals, p5_found, p5_rules, p7_found)}
 
 
 PERIODS = """
@@ -106,6 +112,23 @@ TOTALS = """
       round(sum(case when numeric_value is not null and not isnan(numeric_value) then numeric_value else 0.0 end), 4) as total from d, a group by id"""
 
 
+def _plain_cells() -> str:
+    names = "glucose|creatinine|haemoglobin|hemoglobin|cholesterol|bilirubin|temperature|temp|weight|height"
+    words = lambda x: f"regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+    gone = lambda x, w, sign: f"regexp_replace(regexp_replace({x}, '(^|[^{sign}])(?:{w})([^{sign}]|$)', '\\1 \\2', 'g'), '(^|[^{sign}])(?:{w})([^{sign}]|$)', '\\1 \\2', 'g')"
+    return f"""
+    with d as (select distinct id, time, class, text_value, numeric_value, lower(trim(text_value)) as low from demo), a as (select max(epoch_us(time)) as latest from demo),
+    q as (select *, regexp_extract(low, '(?:^|[^a-z])({names})(?:[^a-z]|$)', 1) as q from d),
+    n as (select *, case
+        when class in ('lab', 'vital') then coalesce(nullif(case q when 'haemoglobin' then 'hemoglobin' when 'temp' then 'temperature' else q end, ''), {words(gone("split_part(low, ':', 1)", "control", "a-z"))})
+        when class = 'medication' then regexp_extract(low, '^[\\p{{L}}_]+') when class = 'diagnosis' then regexp_replace(regexp_replace(low, '^dx\\s*/\\s*', ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g')
+        when class = 'flowsheet' then {words("split_part(low, ':', 1)")} when class = 'note' then 'note'
+        else {words(gone("regexp_replace(low, '[0-9]+', ' ', 'g')", "stay|no|s", "\\p{L}_"))} end as name from q)
+    select id, coalesce(class, 'none') || ':' || case when text_value is null then 'none' when name = '' then 'unnamed' else name end as type, count(*) as n,
+      coalesce((any_value(latest) - max(epoch_us(time))) // 1000000, -1) as since_s, round(sum(case when numeric_value is not null and not isnan(numeric_value) then numeric_value else 0.0 end), 4) + 0.0::double as total
+    from n, a group by id, type"""
+
+
 RULES = """
     with r as (select id, time, text_value, numeric_value as v, min(_src) as src from demo
       where class = 'vital' and text_value is not null and numeric_value is not null and not isnan(numeric_value) group by id, time, text_value, numeric_value),
@@ -118,4 +141,4 @@ RULES = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _found_units(), "p2_graph": "select distinct site, quantity, unit from site_units", "p3_totals": TOTALS, "p5_rules": RULES, "p7_found": PERIODS}
+    return {"p2_found": _found_units(), "p2_graph": "select distinct site, quantity, unit from site_units", "p3_plain": _plain_cells(), "p3_totals": TOTALS, "p5_rules": RULES, "p7_found": PERIODS}
