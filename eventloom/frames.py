@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -53,14 +53,29 @@ def first_of_repeats(df: DataFrame, keys: list[str], order: str = "_src") -> Dat
     return df.groupBy(*keys).agg(F.min(order).alias(order))
 
 
+def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Adds the row's place in the given order, from ``start``. Rows lie in ranges; each range numbers
+    its own, and only the ranges' sizes come to the driver. Ties are in any order."""
+    part = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = {r[0]: r[1] for r in part.groupBy("_range").count().collect()}
+    begin, at = {}, start
+    for p in sorted(sizes):
+        begin[p], at = at, at + sizes[p]
+    offset = F.create_map(*[F.lit(x) for kv in begin.items() for x in kv])[F.col("_range")] if begin else F.lit(start)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + offset
+    return part.withColumn(name, place.cast("long")).drop("_range")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir. Only where it is unset
-    (tests, a laptop) a temporary folder of this machine is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder
+    of this machine is set for local masters (tests, a laptop); on a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import SPLIT_PATTERN
+from eventloom.frames import cut
 
-#: Distinct chunks that come to the driver for learning, the most frequent first.
+#: Distinct chunks that the driver can learn from; a corpus with more is refused.
 MOST_CHUNKS = 5_000_000
 
 Pair = tuple[int, int]
@@ -119,12 +120,15 @@ def token_bytes(merges: Sequence[Pair]) -> list[bytes]:
 
 def train_merges(texts: DataFrame, vocab_size: int, text: str = "text", pattern: str = SPLIT_PATTERN, most_chunks: int = MOST_CHUNKS, sample: float | None = None, seed: int = 0) -> list[Pair]:
     """Merges of a corpus. Chunks are counted where the texts lie; the counted distinct chunks come
-    to the driver, where merges are learned one after the other. Null texts count nothing."""
+    to the driver, where merges are learned one after the other; ValueError for more than
+    ``most_chunks``, since merges learned from a part could differ. Null texts count nothing."""
     t = texts.select(F.col(text).alias("t")).filter("t is not null")
     if sample is not None:
         t = t.sample(fraction=sample, seed=seed)
-    c = chunk_counts(t, "t", pattern)
-    rows = c.orderBy(F.desc("n"), "chunk").limit(most_chunks).toLocalIterator()
+    c = cut(chunk_counts(t, "t", pattern))
+    if (n := c.count()) > most_chunks:
+        raise ValueError(f"{n} distinct chunks are more than the {most_chunks} that merges can be learned from")
+    rows = c.orderBy(F.desc("n"), "chunk").toLocalIterator()
     return learn_merges(((r["chunk"].encode("utf-8"), r["n"]) for r in rows), vocab_size)
 
 
@@ -138,21 +142,29 @@ class Merger:
         self.chunk = lru_cache(maxsize=200_000)(self._chunk)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = list(chunk.encode("utf-8"))
-        while len(ids) > 1:
-            new = min((self.rank.get(p, 1 << 62) for p in zip(ids, ids[1:])))
-            if new == 1 << 62:
-                break
-            out, j = [], 0
-            while j < len(ids):
-                if j + 1 < len(ids) and self.rank.get((ids[j], ids[j + 1])) == new:
-                    out.append(new)
-                    j += 2
-                else:
-                    out.append(ids[j])
-                    j += 1
-            ids = out
-        return tuple(ids)
+        """Pairs wait in a heap by rank and place; tokens are a linked list. A merge touches its two
+        neighbours only, so n bytes take some n log n steps."""
+        ids: list[int] = list(chunk.encode("utf-8"))
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.rank
+        heap = [(r, i) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            new, i = heapq.heappop(heap)
+            j = after[i] if ids[i] >= 0 else n
+            # a pair that has changed since it was put in is passed over
+            if j >= n or rank.get((ids[i], ids[j])) != new:
+                continue
+            ids[i], ids[j] = new, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank.get((ids[h], new))) is not None:
+                heapq.heappush(heap, (r, h))
+        return tuple(x for x in ids if x >= 0)
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.pattern.findall(text) for i in self.chunk(c)]

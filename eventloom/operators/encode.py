@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.frames import cut
 from eventloom.functions.scalars import digitize, level_index, name_pieces, scale, split_text
 from eventloom.operators import bpe
+from eventloom.operators.running import hot_ids, running, with_blocks
 from eventloom.operators.timeline import timeline
 from eventloom.operators.training import KEYS, TokenizerModel
 from eventloom.sources.events import canonical
@@ -51,16 +52,17 @@ def _gap_tokens(model: TokenizerModel) -> Column:
     return _if(there, _token(marker), _token(F.lit("<|NUM|>"), z))
 
 
-def row_tokens(events: DataFrame, model: TokenizerModel, lines: DataFrame | None = None) -> DataFrame:
+def row_tokens(events: DataFrame, model: TokenizerModel, lines: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """The event table with ``_rn`` (the row's number within its id) and ``tokens``: the array of
     (token, bpe_id, val) that the row adds to its id's sequence, in order: start, time difference,
     milestone, age, class, text, number, end. Token strings of byte-pair pieces are null.
 
     A number of a group that training didn't see is left out. With fused numbers, so is the number
-    of a row without text. ``lines`` is a timeline made elsewhere (a stream's).
+    of a row without text. ``lines`` is a timeline made elsewhere (a stream's);
+    ``hot`` the ids whose history goes in blocks.
     """
     c = model.config
-    t = timeline(canonical(events), c, model.births) if lines is None else lines
+    t = timeline(canonical(events), c, model.births, hot) if lines is None else lines
     bands = F.array(*map(F.lit, c.bands))
     gaps = model.gaps.select(F.col("band").alias("_b"), F.struct("band", "type", "edges", "p").alias("_g"))
     # one row per time band
@@ -119,11 +121,12 @@ def encode(events: DataFrame, model: TokenizerModel, strict: bool = True) -> Dat
     """The token stream: ``id, row_no, pos, token, token_id, val``. ``row_no`` is the row within its
     id in order of (time, _src), from 0, and -1 for start and end tokens; ``pos`` is the place in
     the id's sequence, from 0."""
-    r = row_tokens(events, model)
-    flat = r.select("id", "_rn", F.size("tokens").alias("_n"), "_lead", "_tail", F.posexplode("tokens").alias("_i", "x"))
+    hot = hot_ids(canonical(events))
+    r = with_blocks(row_tokens(events, model, hot=hot), hot)
+    r = running(r, ["id"], ["_rn"], {"_at": ("sum", F.size("tokens"))}, inclusive=False)
+    flat = r.select("id", "_rn", "_at", F.size("tokens").alias("_n"), "_lead", "_tail", F.posexplode("tokens").alias("_i", "x"))
     edge = ((F.col("_i") == 0) & (F.col("_lead") == 1)) | ((F.col("_i") == F.col("_n") - 1) & (F.col("_tail") == 1))
-    w = Window.partitionBy("id").orderBy("_rn", "_i")
-    flat = flat.select("id", F.when(edge, -1).otherwise(F.col("_rn") - 1).cast("long").alias("row_no"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("x.token").alias("token"), F.col("x.bpe_id").alias("bpe_id"), F.col("x.val").alias("val"))
+    flat = flat.select("id", F.when(edge, -1).otherwise(F.col("_rn") - 1).cast("long").alias("row_no"), (F.col("_at") + F.col("_i")).cast("long").alias("pos"), F.col("x.token").alias("token"), F.col("x.bpe_id").alias("bpe_id"), F.col("x.val").alias("val"))
     return with_ids(flat, model, strict).select("id", "row_no", "pos", "token", "token_id", "val")
 
 
@@ -142,18 +145,30 @@ def debug(events: DataFrame, model: TokenizerModel) -> DataFrame:
 
 
 def sequences(stream: DataFrame) -> DataFrame:
-    """``id, ids, vals, row_nos``: a token stream with one row per id; missing values are NaN."""
-    packed = F.array_sort(F.collect_list(F.struct("pos", "token_id", "val", "row_no")))
-    s = stream.groupBy("id").agg(packed.alias("s"))
-    return s.select("id", F.transform("s", lambda x: x["token_id"]).alias("ids"), F.transform("s", lambda x: F.coalesce(x["val"], F.lit(float("nan")))).alias("vals"), F.transform("s", lambda x: x["row_no"]).alias("row_nos"))
+    """``id, ids, vals, row_nos``: a token stream with one row per id; missing values are NaN. An id's
+    tokens are one value, so for histories beyond some million tokens use ``sequence_chunks``."""
+    return _arrays(stream.groupBy("id"), ["id"])
+
+
+def sequence_chunks(stream: DataFrame, length: int = 65_536) -> DataFrame:
+    """``id, chunk_no, ids, vals, row_nos``: the same in chunks of ``length`` tokens, numbered from 0;
+    the last of an id may be shorter. No task holds more than a chunk of an id at once."""
+    if length < 1:
+        raise ValueError("length must be positive")
+    return _arrays(stream.withColumn("chunk_no", F.floor(F.col("pos") / length)).groupBy("id", "chunk_no"), ["id", "chunk_no"])
+
+
+def _arrays(grouped, keys: list[str]) -> DataFrame:
+    s = grouped.agg(F.array_sort(F.collect_list(F.struct("pos", "token_id", "val", "row_no"))).alias("s"))
+    return s.select(*keys, F.transform("s", lambda x: x["token_id"]).alias("ids"), F.transform("s", lambda x: F.coalesce(x["val"], F.lit(float("nan")))).alias("vals"), F.transform("s", lambda x: x["row_no"]).alias("row_nos"))
 
 
 def global_row_index(events: DataFrame) -> DataFrame:
     """``id, _src, row_idx``: the row's place in the whole table in order of (id, time, _src). Two
     levels: places within the id, and running totals over ids, which are themselves added up in
     ranges of ids first."""
-    e = canonical(events)
-    within = e.select("id", "_src", (F.row_number().over(Window.partitionBy("id").orderBy("time", "_src")) - 1).alias("_k"))
+    e = canonical(events).select("id", "time", "_src")
+    within = running(with_blocks(e, hot_ids(e)), ["id"], ["time", "_src"], {"_k": ("sum", F.lit(1))}, inclusive=False)
     per = cut(e.groupBy("id").agg(F.count("*").alias("_n")).repartitionByRange("id").withColumn("_p", F.spark_partition_id()))
     inside = Window.partitionBy("_p").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     before = per.groupBy("_p").agg(F.sum("_n").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from eventloom.config import TokenizerConfig
 
-#: Values that ``_thinned`` keeps. Edges don't use it: they are found on all values.
-MOST_VALUES = 200_000
 #: Distinct values of a group that a task holds in memory when it looks for edges; those of a larger
 #: group lie in files on its disk. The edges are the same.
 IN_MEMORY = 1_000_000
@@ -164,12 +162,6 @@ class _Ascending:
                 f.close()
 
 
-def _thinned(v: np.ndarray, c: np.ndarray, upto: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    step = (upto - 1) * MOST_VALUES // n
-    first = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
-    return v[np.r_[first[1:] - 1, len(v) - 1]], np.add.reduceat(c, first)
-
-
 def _edge_stream(keys: list[str], n_bins: int, clip: tuple[float, float]):
     """Sorted batches of a clipped ranked histogram to one row of edges per group. A group may span
     batches."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.config import TokenizerConfig
 from eventloom.frames import epoch_us
 from eventloom.functions.scalars import MAX_AGE, age_years, band_index, milestone_key, milestone_token
+from eventloom.operators.running import running, with_blocks
 
 #: What ``timeline`` adds to an event table.
 COLUMNS = ("_birth", "_rn", "_sos", "_eos", "_dt_us", "_band", "_state", "_ms", "_age")
@@ -30,16 +31,17 @@ def birth_dates(events: DataFrame, config: TokenizerConfig) -> DataFrame:
     return b.groupBy("id").agg(F.max_by("time", "_src").alias("birth"))
 
 
-def whole_second_gaps(events: DataFrame, config: TokenizerConfig) -> DataFrame:
+def whole_second_gaps(events: DataFrame, config: TokenizerConfig, hot: DataFrame | None = None) -> DataFrame:
     """``id, gap_s, band``: positive whole seconds between neighbouring rows of an id, birth rows
-    left out. A row without time breaks the chain."""
-    order = Window.partitionBy("id").orderBy("time", "_src")
+    left out. A row without time breaks the chain: it sorts before all others. ``hot``: the ids
+    whose history goes in blocks (``running.hot_ids``)."""
     t = clinical(events, config).select("id", "time", "_src", epoch_us("time", events.sparkSession).alias("_us"))
-    t = t.select("id", F.floor((F.col("_us") - F.lag("_us").over(order)) / 1_000_000).alias("gap_s")).filter("gap_s > 0")
+    t = running(with_blocks(t, hot), ["id"], ["time", "_src"], {"_before": ("last", F.col("_us"))}, inclusive=False)
+    t = t.select("id", F.floor((F.col("_us") - F.col("_before")) / 1_000_000).alias("gap_s")).filter("gap_s > 0")
     return t.withColumn("band", band_index(F.col("gap_s"), config))
 
 
-def timeline(events: DataFrame, config: TokenizerConfig, births: DataFrame | None = None) -> DataFrame:
+def timeline(events: DataFrame, config: TokenizerConfig, births: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Adds to each row of a canonical event table, in order of (time, _src) within its id:
 
     ``_birth`` whether it is a birth row; ``_rn`` its number within the id; ``_sos``, ``_eos``
@@ -50,34 +52,29 @@ def timeline(events: DataFrame, config: TokenizerConfig, births: DataFrame | Non
     A birth row starts a segment: time, state, milestone and age begin anew. ``births`` (``id,
     birth``) holds birth dates known beforehand; birth rows seen so far go before them. Rows
     without time sort first, keep the last time and emit neither difference nor milestone nor
-    age. One exchange by id serves all windows.
+    age. One exchange by id serves all windows; the histories of the ids in ``hot``
+    (``running.hot_ids``) go in blocks of an hour instead, with the same results.
     """
     spark = events.sparkSession
-    whole = Window.partitionBy("id").orderBy("time", "_src")
     e = events
     if births is not None:
-        e = e.join(births.select("id", epoch_us("birth", spark).alias("_known")), "id", "left")
+        e = e.join(births.select(F.col("id").alias("_bid"), epoch_us("birth", spark).alias("_known")), F.col("id") == F.col("_bid"), "left").drop("_bid")
     else:
         e = e.withColumn("_known", F.lit(None).cast("long"))
-    e = e.withColumn("_birth", is_birth(config)).withColumn("_us", epoch_us("time", spark))
-    so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
-    e = e.select(
-        "*", F.row_number().over(whole).alias("_rn"), F.lead("_src").over(whole).isNull().alias("_eos"),
-        F.sum(F.col("_birth").cast("int")).over(so_far).alias("_seg"),
-        F.coalesce(F.last(F.when(F.col("_birth"), F.col("_us")), ignorenulls=True).over(so_far), F.col("_known")).alias("_born"),
-    )
-    e = e.withColumn("_sos", F.col("_birth") | (F.col("_rn") == 1))
-
-    part = Window.partitionBy("id", "_seg").orderBy("_rn")
-    before = part.rowsBetween(Window.unboundedPreceding, -1)
+    e = with_blocks(e.withColumn("_birth", is_birth(config)).withColumn("_us", epoch_us("time", spark)), hot)
+    one = {"_rn": ("sum", F.lit(1)), "_seg": ("sum", F.col("_birth").cast("int")), "_seen": ("last", F.when(F.col("_birth"), F.col("_us")))}
+    ends = F.lead("_src").over(Window.partitionBy("id", *(["_blk"] if hot is not None else [])).orderBy("time", "_src")).isNull()
+    e = running(e.withColumn("_eos", ends), ["id"], ["time", "_src"], one, inclusive=True)
+    if hot is not None:
+        e = e.withColumn("_eos", F.when(F.col("_hot").isNotNull(), F.col("_rn") == F.col("_hot")).otherwise(F.col("_eos")))
+    e = e.withColumn("_born", F.coalesce("_seen", "_known")).withColumn("_sos", F.col("_birth") | (F.col("_rn") == 1))
+
+    part = ["id", "_seg"]
     states = config.triggers
     to = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])[F.col("class")] if states else F.lit(None).cast("string")
     e = e.withColumn("_to", F.when(~F.col("_birth"), to)).withColumn("_at", F.when(~F.col("_birth"), F.col("_us")))
-    e = e.select(
-        "*", F.last("_at", ignorenulls=True).over(before).alias("_prev"),
-        F.coalesce(F.last("_to", ignorenulls=True).over(before), F.lit(config.initial_state)).alias("_state"),
-        F.coalesce(F.count("_to").over(before), F.lit(0)).alias("_g"),
-    )
+    e = running(e, part, ["_rn"], {"_prev": ("last", F.col("_at")), "_was": ("last", F.col("_to")), "_g": ("sum", F.col("_to").isNotNull().cast("long"))}, inclusive=False)
+    e = e.withColumn("_state", F.coalesce("_was", F.lit(config.initial_state)))
     e = e.withColumn("_dt_us", F.when(F.col("_at") > F.col("_prev"), F.col("_at") - F.col("_prev")))
     e = e.withColumn("_band", F.when(F.col("_dt_us").isNotNull(), band_index(F.col("_dt_us") / 1e6, config)))
 
@@ -87,7 +84,7 @@ def timeline(events: DataFrame, config: TokenizerConfig, births: DataFrame | Non
     e = e.withColumn("_key", F.when(F.col("_kind").isNotNull(), F.struct(F.col("_g").alias("g"), milestone_key(F.col("_kind"), F.col("time"), config.milestone_shift_start).alias("k"))))
     age = age_years(F.col("_at"), F.col("_born"))
     e = e.withColumn("_years", F.when(age.between(0, MAX_AGE), age))
-    e = e.select("*", F.last("_key", ignorenulls=True).over(before).alias("_last_key"), F.last("_years", ignorenulls=True).over(before).alias("_last_age"))
+    e = running(e, part, ["_rn"], {"_last_key": ("last", F.col("_key")), "_last_age": ("last", F.col("_years"))}, inclusive=False)
     # within one stretch between triggers the state, and so the kind, is constant; g tells stretches apart
     changed = F.col("_key").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_last_key"))
     e = e.withColumn("_ms", F.when(changed, milestone_token(F.col("_kind"), F.col("time"), config.milestone_shift_start)))

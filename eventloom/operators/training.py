@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventloom.config import TokenizerConfig
 from eventloom.frames import cut
 from eventloom.operators import bpe, distfit, numeric, timeline, vocab
+from eventloom.operators.running import hot_ids
 from eventloom.sources.events import canonical, require_events
 
 KEYS = ["class", "text_value"]
@@ -102,10 +103,10 @@ def numeric_params(clinical: DataFrame, config: TokenizerConfig) -> DataFrame:
     return levels.unionByName(rest)
 
 
-def gap_params(events: DataFrame, config: TokenizerConfig) -> DataFrame:
+def gap_params(events: DataFrame, config: TokenizerConfig, hot: DataFrame | None = None) -> DataFrame:
     """``band, type, edges, p`` for each time band. A band with at most one difference takes the
     parameters of all differences; without any there are no rows."""
-    gaps = timeline.whole_second_gaps(events, config)
+    gaps = timeline.whole_second_gaps(events, config, hot)
     bands = F.array(*map(F.lit, config.bands))
     both = gaps.select(F.explode(F.array(F.get(bands, F.col("band")), F.lit(None).cast("string"))).alias("band"), F.col("gap_s").cast("double").alias("v"))
     ranks = numeric.ranked(both.groupBy("band", "v").agg(F.count("*").alias("c")), ["band"])
@@ -138,7 +139,7 @@ def train(events: DataFrame, config: TokenizerConfig | None = None) -> Tokenizer
         named = sorted(c for c, m in modes.items() if m == "bpe")
         warnings.warn(f"num_seq='fused': numbers of classes with bpe texts ({', '.join(named[:5])}) get tokens of their own", stacklevel=2)
     numbers = cut(numeric_params(rows, config))
-    gaps = cut(gap_params(e, config))
+    gaps = cut(gap_params(e, config, hot_ids(rows)))
     if gaps.isEmpty():
         warnings.warn("no positive time difference: no time tokens", stacklevel=2)
     births = cut(timeline.birth_dates(e, config))

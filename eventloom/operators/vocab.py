@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.config import TokenizerConfig
+from eventloom.frames import numbered
 from eventloom.functions.scalars import MAX_AGE, name_pieces, split_text
 
 COLUMNS = "token string, type string, class string, piece string, starts_row boolean, qual string, qual_index int, band string"
@@ -78,5 +79,4 @@ def build(spark: SparkSession, pairs: DataFrame, numeric: DataFrame, config: Tok
     clash = out.groupBy("token").agg(F.count("*").alias("n"), F.collect_set("type").alias("types")).filter("n > 1").orderBy("token").limit(5).collect()
     if clash:
         raise ValueError("tokens collide: " + ", ".join(f"{r['token']!r} ({', '.join(sorted(r['types']))})" for r in clash))
-    number = F.row_number().over(Window.orderBy("_part", "_i", "token")) - 1 + base
-    return out.select("token", number.cast("long").alias("token_id"), *[c.strip().split()[0] for c in COLUMNS.split(",")[1:]])
+    return numbered(out, ["_part", "_i", "token"], "token_id", base).select("token", "token_id", *[c.strip().split()[0] for c in COLUMNS.split(",")[1:]])

@@ -177,12 +177,49 @@ def vocab_special(spark: SparkSession, d: str) -> DataFrame:
 
 def encode_tokens_factored(spark: SparkSession, d: str) -> DataFrame:
     e, m = _trained(spark, d, _simple())
-    return encode.encode(e, m).select("id", "row_no", "pos", "token")
+    return encode.encode(e, m).select("id", "row_no", "pos", "token", "token_id")
 
 
 def encode_tokens_fused(spark: SparkSession, d: str) -> DataFrame:
     e, m = _trained(spark, d, _simple(num_seq="fused"))
-    return encode.encode(e, m).select("id", "row_no", "pos", "token")
+    return encode.encode(e, m).select("id", "row_no", "pos", "token", "token_id")
+
+
+def vocab_full(spark: SparkSession, d: str) -> DataFrame:
+    """The whole vocabulary of a model with fused numbers."""
+    return _trained(spark, d, _simple(num_seq="fused"))[1].vocab.select("token", "token_id", "type")
+
+
+def _continuous() -> TokenizerConfig:
+    return _simple(num_type="continuous", distributions={"normal": ["event"]})
+
+
+def encode_continuous(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled values: normal for numbers, lognormal for time differences; -99 stands for none."""
+    e, m = _trained(spark, d, _continuous())
+    return encode.encode(e, m).select("id", "pos", "token", "token_id", F.coalesce(F.round("val", 5) + 0.0, F.lit(-99.0)).alias("val"))
+
+
+def decode_values(spark: SparkSession, d: str) -> DataFrame:
+    """Times, as milliseconds since the reference time, and numbers that come back from bins."""
+    e, m = _trained(spark, d, _simple())
+    back = decode.decode(encode.encode(e, m), m)
+    ms = F.round(F.unix_micros(F.col("time").cast("timestamp")) / 1000).cast("long")
+    return back.select("id", F.row_number().over(Window.partitionBy("id").orderBy("_src")).alias("k"), "class", "text_value", F.round("numeric_value", 6).alias("numeric_value"), ms.alias("ms"))
+
+
+def density_widths(spark: SparkSession, d: str) -> DataFrame:
+    """The bits that turn probabilities of bins into densities."""
+    e, m = _trained(spark, d, _simple())
+    s = encode.encode(e, m).drop("token").withColumn("bits", F.lit(1.0))
+    return score.adjusted(s, m).filter("group in ('time', 'numeric') and type = 'Q'").groupBy("group").agg(F.count("*").alias("n"), F.round(F.sum("adjustment"), 3).alias("bits"))
+
+
+def density_slopes(spark: SparkSession, d: str) -> DataFrame:
+    """The same for scaled values."""
+    e, m = _trained(spark, d, _continuous())
+    s = encode.encode(e, m).drop("token").withColumn("bits", F.lit(1.0))
+    return score.adjusted(s, m).filter("type = 'num_marker'").groupBy("group").agg(F.count("*").alias("n"), F.round(F.sum("adjustment"), 3).alias("bits"))
 
 
 def encode_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -261,6 +298,12 @@ def meds_split(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("id", "class", "text_value").agg(F.count("*").alias("n"))
 
 
+def bpe_chunk_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """How many bytes the chunks of the default pattern have in all: it leaves nothing out."""
+    c = bpe.chunk_counts(pick(spark.read.parquet(f"{d}/documents.parquet"), "text"), "text")
+    return c.agg(F.sum(F.octet_length("chunk") * F.col("n")).alias("bytes"), F.max(F.length(F.regexp_extract("chunk", r"^\p{N}+$", 0))).cast("long").alias("longest_number"))
+
+
 def bpe_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     return bpe.chunk_counts(pick(spark.read.parquet(f"{d}/documents.parquet"), "text"), "text", WORDS)
 
@@ -288,7 +331,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         text_mode_stats, numeric_group_stats, level_tables, percentile_bounds, normal_params, lognormal_params, gamma_params, minmax_params, scaled_values, unscaled_values, digitized, quantile_edges,
         adaptive_edges, distribution_advice, time_deltas, band_counts, state_timeline, age_tokens, sos_eos_boundaries, *[_milestones(k) for k in ("week", "month", "daily", "12hr", "8hr")],
-        concept_split_delim, concept_split_width, class_fusion_tokens, vocab_special, encode_tokens_factored, encode_tokens_fused, encode_token_counts, encode_demo, encode_debug, sequence_lengths,
-        train_pairs, row_idx_map, decode_roundtrip, decode_levels, token_type_counts, numeric_contexts, bpr_groups, density_bits, meds_split, bpe_chunk_counts, bpe_byte_pairs, bpe_merges, bpe_roundtrip,
+        concept_split_delim, concept_split_width, class_fusion_tokens, vocab_special, encode_tokens_factored, encode_tokens_fused, vocab_full, encode_continuous, decode_values, density_widths, density_slopes, encode_token_counts, encode_demo, encode_debug, sequence_lengths,
+        train_pairs, row_idx_map, decode_roundtrip, decode_levels, token_type_counts, numeric_contexts, bpr_groups, density_bits, meds_split, bpe_chunk_bytes, bpe_chunk_counts, bpe_byte_pairs, bpe_merges, bpe_roundtrip,
     ]
     return {f.__name__: f for f in found}

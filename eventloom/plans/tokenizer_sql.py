@@ -105,12 +105,56 @@ def _encoded(fused: bool) -> str:
       with a as (with {_edges(EVENTS, 'text_value')} select text_value, list(edge order by i) as edges from e group by text_value),
       d as (with {_edges(_EV_GAPS, 'k')} select list(edge order by i) as edges from e),
       r as (select x.*, row_number() over w as rn, (epoch_us(time) - epoch_us(lag(time) over w)) / 1e6 as dt, lead(_src) over w is null as ends from {EVENTS} x window w as (partition by id order by time, _src)),
-      n as (select r.*, len(list_filter(a.edges, lambda z: z <= r.v)) as q, len(list_filter(d.edges, lambda z: z <= r.dt)) as dq from r join a using (text_value), d),
+      n as (select r.*, a.edges as ve, d.edges as de, len(list_filter(a.edges, lambda z: z <= r.v)) as q, len(list_filter(d.edges, lambda z: z <= r.dt)) as dq from r join a using (text_value), d),
       l as (select id, rn, ends, (case when rn = 1 then ['<|sos|>'] else [] end) || (case when dt > 0 then {delta} else [] end) || {body} || (case when ends then ['<|eos|>'] else [] end) as t from n),
       x as (select id, rn, unnest(t) as token, generate_subscripts(t, 1) as i from l),
       z as (select id, case when token in ('<|sos|>', '<|eos|>') then -1 else rn - 1 end as row_no, row_number() over (partition by id order by rn, i) - 1 as pos, token from x)"""
 
 
+def _vocabulary(fused: bool) -> str:
+    """The vocabulary of the events table as further tables of ``_encoded``: token, token_id, type."""
+    special = SPECIAL.replace("'delta_time_0', 'delta_time_1', 'delta_time_2'", "'delta_time_0'")
+    more = """
+        union all select 2, lpad(i::varchar, 3, '0'), '<|delta_time_0_Q' || i || '|>', 'time_delta_fused' from range(11) t(i)
+        union all select 4, token, token, 'fused_concept_Q' from (select distinct text_value || '::Q' || i as token from events_, range(11) t(i))""" if fused else ""
+    return f""",
+      events_ as (select distinct text_value from {EVENTS}), sp as ({special}),
+      parts(a, b, token, type) as (select 0, lpad(token_id::varchar, 6, '0'), token, type from sp union all select 1, '', '<|event|>', 'class'
+        union all select 3, text_value, text_value, 'concept' from events_{more}),
+      voc as (select token, row_number() over (order by a, b) - 1 as token_id, type from parts)"""
+
+
+def _mid(edges: str, q: str) -> str:
+    return f"case when {q} <= 0 then {edges}[1] when {q} >= len({edges}) then {edges}[len({edges})] else ({edges}[{q}] + {edges}[{q} + 1]) / 2 end"
+
+
+def _width(edges: str, q: str) -> str:
+    return f"case when {q} <= 0 then {edges}[2] - {edges}[1] when {q} >= len({edges}) then {edges}[len({edges})] - {edges}[len({edges}) - 1] else {edges}[{q} + 1] - {edges}[{q}] end"
+
+
+IDS = {f: f"{_encoded(f)}{_vocabulary(f)} select id, row_no, pos, token, token_id from z join voc using (token)" for f in (False, True)}
+VOCABULARY = f"{_encoded(True)}{_vocabulary(True)} select token, token_id, type from voc"
+DECODED = f"""{_encoded(False)}, m as (select id, rn, text_value, {_mid('ve', 'q')} as v, case when dt > 0 then {_mid('de', 'dq')} else 0 end as s from n)
+      select id, rn as k, 'event' as class, text_value, round(v, 6) as numeric_value, round(sum(round(s * 1e6) / 1e6) over (partition by id order by rn) * 1000)::bigint as ms from m"""
+WIDTHS = f"""{_encoded(False)} select 'numeric' as "group", count(*) as n, round(sum(log2({_width('ve', 'q')})), 3) as bits from n
+      union all select 'time', count(*), round(sum(log2({_width('de', 'dq')})), 3) from n where dt > 0"""
+
+_GAP_FIT = f"""
+      gb as (select quantile_cont(v, 0.01) as low, quantile_cont(v, 0.99) as high from {_EV_GAPS}),
+      gf as (select any_value(low) as glow, any_value(high) as ghigh, avg(ln(x)) as gmu, var_pop(ln(x)) as gs from (select low, high, least(greatest(v, low), high) as x from {_EV_GAPS}, gb)),
+      vb as (select text_value, quantile_cont(v, 0.01) as low, quantile_cont(v, 0.99) as high from {EVENTS} where v is not null and not isnan(v) group by text_value),
+      vf as (select text_value, any_value(low) as low, any_value(high) as high, avg(least(greatest(v, low), high)) as mean, var_pop(least(greatest(v, low), high)) as var from {EVENTS} join vb using (text_value) where v is not null and not isnan(v) group by text_value),
+      cr as (select x.*, row_number() over w as rn, (epoch_us(time) - epoch_us(lag(time) over w)) / 1e6 as dt, lead(_src) over w is null as ends from {EVENTS} x window w as (partition by id order by time, _src)),
+      cn as (select cr.*, low, high, var, least(greatest(dt, glow), ghigh) as gx, gs, (least(greatest(v, low), high) - mean) / sqrt(greatest(var, 1e-8)) as z, (ln(least(greatest(dt, glow), ghigh)) - gmu) / sqrt(greatest(gs, 1e-8)) as gz from cr join vf using (text_value), gf)"""
+CONTINUOUS = f"""{_encoded(False)}{_vocabulary(False)}, {_GAP_FIT},
+      cl as (select id, rn, (case when rn = 1 then [('<|sos|>', null)] else [] end) || (case when dt > 0 then [('<|delta_time_0|>', null), ('<|NUM|>', gz)] else [] end)
+        || [('<|event|>', null), (text_value, null), ('<|NUM|>', z)] || (case when ends then [('<|eos|>', null)] else [] end) as t from cn),
+      cx as (select id, rn, unnest(t) as p, generate_subscripts(t, 1) as i from cl)
+      select id, row_number() over (partition by id order by rn, i) - 1 as pos, voc.token, token_id, coalesce(round(p[2], 5) + 0.0::double, -99.0::double) as val from cx join voc on voc.token = p[1]"""
+SLOPES = f"""with {_GAP_FIT.strip()} select 'numeric' as "group", count(*) as n, round(sum(log2(sqrt(var))), 3) as bits from cn
+      union all select 'time', count(*), round(sum(log2(gx * sqrt(gs))), 3) from cn where dt > 0"""
+
+
 TYPES = f"""{_encoded(True)} select case when token = '<|sos|>' then 'sos' when token = '<|eos|>' then 'eos' when token = '<|event|>' then 'class' when token like '<|delta%' then 'time_delta_fused' else 'fused_concept_Q' end as type, count(*) as n from z group by 1"""
 CONTEXTS = f"""{_encoded(False)}, y as (select *, lag(token) over (partition by id order by pos) as before from z),
       k as (select case when token = '<|sos|>' then 'sos' when token = '<|eos|>' then 'eos' when token = '<|event|>' then 'class' when token like '<|delta%' then 'time_delta' when token like '<|Q%' then 'Q' else 'concept' end as type,
@@ -151,8 +195,13 @@ def oracle_sql() -> dict[str, str]:
         "concept_split_width": "select o_orderkey as _src, unnest([o_orderpriority[1], o_orderpriority[2], substr(o_orderpriority, 3)]) as piece, unnest([0, 1, 2])::int as i from orders",
         "class_fusion_tokens": "select l_orderkey * 100 + l_linenumber as _src, '<|line:' || l_returnflag || '|> line:' || l_linestatus as tokens, l_returnflag || '//' || l_linestatus as joined from lineitem",
         "vocab_special": SPECIAL,
-        "encode_tokens_factored": f"{_encoded(False)} select * from z",
-        "encode_tokens_fused": f"{_encoded(True)} select * from z",
+        "encode_tokens_factored": IDS[False],
+        "encode_tokens_fused": IDS[True],
+        "vocab_full": VOCABULARY,
+        "encode_continuous": CONTINUOUS,
+        "decode_values": DECODED,
+        "density_widths": WIDTHS,
+        "density_slopes": SLOPES,
         "encode_token_counts": f"{_encoded(False)} select token, count(*) as n from z group by token",
         "sequence_lengths": f"{_encoded(False)} select id, count(*) as n, sum((row_no < 0)::int)::bigint as n_edges from z group by id",
         "train_pairs": f"{_encoded(False)} select id, count(*) - 1 as n_x, count(*) - 1 as n_y from z group by id having count(*) >= 2",
@@ -165,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "meds_split": r"""with m as (select subject_id as id, code, contains(code, '//') as two from meds)
       select id, case when code = 'MEDS_BIRTH' then 'demographic' when two then lower(regexp_extract(code, '(?s)^(.*?)\s*//', 1)) else lower(code) end as class,
         case when code = 'MEDS_BIRTH' then 'birth_date' when two then regexp_replace(code, '(?s)^.*?\s*//\s*', '') end as text_value, count(*) as n from m group by all""",
+        "bpe_chunk_bytes": "select sum(octet_length(encode(text)))::bigint as bytes, 3::bigint as longest_number from documents",
         "bpe_chunk_counts": f"select chunk, count(*) as n from (select unnest(regexp_extract_all(text, '{WORDS}')) as chunk from documents) group by chunk",
         "bpe_byte_pairs": BYTES,
         "bpe_roundtrip": "select doc_id, text from documents",

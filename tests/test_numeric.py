@@ -60,16 +60,6 @@ def test_edges_of_many_groups(spark, monkeypatch):
     assert got == {k: edges([x for g, x in rows if g == k], 7) for k in {g for g, _ in rows}}
 
 
-def test_thinning_moves_an_edge_by_two_steps_at_most(monkeypatch):
-    v = np.sort(np.random.default_rng(9).normal(0, 1, 50_000))
-    c = np.ones(len(v), np.int64)
-    monkeypatch.setattr(numeric, "MOST_VALUES", 5000)
-    tv, tc = numeric._thinned(v, c, np.arange(1, len(v) + 1), len(v))
-    assert len(tv) == 5000 and tc.sum() == len(v)
-    a, b = quantile_edges(v, c, 10, (1, 99)), quantile_edges(tv, tc, 10, (1, 99))
-    assert np.abs(np.searchsorted(v, a) - np.searchsorted(v, b)).max() <= 20
-
-
 def all_steps(values, n_bins, clip=(1, 99)):
     """The edges from whole arrays, each step as it is stated."""
     x = np.sort(np.asarray(values, float))

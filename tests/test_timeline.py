@@ -6,7 +6,7 @@ import random
 import pytest
 
 from eventloom.config import TokenizerConfig
-from eventloom.operators.timeline import birth_dates, timeline
+from eventloom.operators.timeline import birth_dates, clinical, timeline, whole_second_gaps
 
 
 def interpret(rows, config, births):
@@ -86,3 +86,24 @@ def test_one_exchange_by_id(spark):
     df = spark.createDataFrame(random_rows(1, 50), EVENTS)
     plan = timeline(df, config)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_hot_histories_in_blocks_give_the_same(spark, table, monkeypatch):
+    """Every id beyond ten rows goes in blocks of an hour."""
+    from eventloom.operators import encode, running
+    from eventloom.operators.training import train
+    from eventloom.sources.events import canonical
+
+    e = canonical(table("demo").filter("id % 3 = 0"))
+    e = e.unionByName(e.limit(40).selectExpr("id", "cast(null as timestamp_ntz) as time", "class", "text_value", "numeric_value", "_src + 1000000000000 as _src"))
+    c = TokenizerConfig(milestone_per_state={"inpatient": "8hr", "outpatient": "week"}, state_transitions={"inpatient": ["admission"], "outpatient": ["discharge"]}, initial_state="outpatient", text_mode_default="concept")
+    rows = lambda df: sorted(map(str, df.collect()))
+    births = birth_dates(e, c)
+    one, gaps, model = rows(timeline(e, c, births)), rows(whole_second_gaps(e, c)), train(e, c)
+    whole, index = rows(encode.encode(e, model)), rows(encode.global_row_index(e))
+    monkeypatch.setattr(running, "HOT_ROWS", 10)
+    hot = running.hot_ids(e)
+    assert hot is not None and hot.count() > 5
+    assert rows(timeline(e, c, births, hot)) == one
+    assert rows(whole_second_gaps(e, c, running.hot_ids(clinical(e, c)))) == gaps
+    assert rows(encode.encode(e, model)) == whole and rows(encode.global_row_index(e)) == index
