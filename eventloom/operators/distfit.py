@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.numeric import at_rank, histogram, ranked
+from eventloom.operators.numeric import at_rank, beside, histogram, ranked
 
 # The percentiles at which a fit is compared with the normal distribution.
 PERCENTS = (0.1, 1, 5, 10, 25, 50, 75, 90, 95, 99, 99.9)
@@ -32,13 +32,12 @@ def recommend(rows: DataFrame, keys: list[str], value: str = "numeric_value", cl
     Null keys are groups; smaller groups and empty tables give no rows. Everything is computed
     from one histogram per group.
     """
-    group = Window.partitionBy(*keys)
     r = ranked(histogram(rows, keys, F.col(value)), keys).filter(F.col("n") >= least_rows)
-    r = r.select("*", at_rank(nearest(clip[0]), F.col("v")).over(group).alias("low"), at_rank(nearest(clip[1]), F.col("v")).over(group).alias("high"))
+    r = beside(r, keys, lambda of: {"low": of(at_rank(nearest(clip[0]), F.col("v"))), "high": of(at_rank(nearest(clip[1]), F.col("v")))})
     # clipping keeps the order, so ranks of values are ranks of clipped values
     r = r.withColumn("x", F.least(F.greatest("v", "low"), F.col("high")))
     log = F.log(F.when(F.col("x") > 0, F.col("x")))
-    r = r.select("*", (F.sum(F.col("x") * F.col("c")).over(group) / F.col("n")).alias("mean"), (F.sum(log * F.col("c")).over(group) / F.col("n")).alias("_mu"))
+    r = beside(r, keys, lambda of: {"mean": of(F.sum(F.col("x") * F.col("c"))) / of(F.max("n")), "_mu": of(F.sum(log * F.col("c"))) / of(F.max("n"))})
     names = {f"p{str(p).replace('.', '_')}": p for p in PERCENTS}
     d, dl = F.col("x") - F.col("mean"), log - F.col("_mu")
     g = r.groupBy(*keys).agg(

@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.config import TokenizerConfig
+from eventloom.frames import cut
+from eventloom.operators.running import running
 
 #: Distinct values of a group that a task holds in memory when it looks for edges; those of a larger
 #: group lie in files on its disk. The edges are the same.
 IN_MEMORY = 1_000_000
+#: Distinct values from which a group is ranked in blocks.
+HOT_VALUES = 2_000_000
 
 PARAMS = "distribution string, mean double, var double, mu double, sigma2 double, alpha double, beta double, vmin double, vmax double, low double, high double"
 
@@ -28,12 +32,56 @@ def histogram(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return h.groupBy(*keys, "v").agg(F.count("*").alias("c"))
 
 
+def value_block(v: Column) -> Column:
+    """A number that rises with v: 4096 blocks to each octave."""
+    size = F.floor(F.log2(F.abs(v)) * 4096) + (1100 * 4096)
+    return F.when(v == 0, F.lit(0)).when(F.isnan(v) | (F.abs(v) == float("inf")), F.signum(v) * (1 << 40)).otherwise(F.signum(v) * size).cast("long")
+
+
 def ranked(hist: DataFrame, keys: list[str]) -> DataFrame:
     """A histogram with ``upto`` (rows up to and including the value), ``n`` (rows of the group) and
-    ``n_distinct``. Everything that follows works on groups that lie together: one exchange."""
+    ``n_distinct``.
+
+    Everything that follows works on groups that lie together: one exchange. Groups of more than
+    HOT_VALUES distinct values are marked in a column ``_hot``; their ranks come from running
+    counts over blocks of values and then within a block, and their totals are broadcast, a row per
+    hot group. The results are the same.
+    """
+    hist = cut(hist)
+    size = hist.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
+    hot = cut(size.filter(F.col("n_distinct") > HOT_VALUES))
     group = Window.partitionBy(*keys)
     so_far = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return hist.select("*", F.sum("c").over(so_far).alias("upto"), F.sum("c").over(group).alias("n"), F.count("*").over(group).alias("n_distinct"))
+    whole = lambda h: h.select("*", F.sum("c").over(so_far).alias("upto"), F.sum("c").over(group).alias("n"), F.count("*").over(group).alias("n_distinct"))
+    if hot.isEmpty():
+        return whole(hist)
+    h = _attached(hist, keys, hot).withColumnRenamed("n", "_hot")
+    large = h.filter("_hot is not null").withColumn("_blk", value_block(F.col("v")))
+    large = running(large, keys, ["v"], {"upto": ("sum", F.col("c"))}, inclusive=True).select(*keys, "v", "c", "upto", F.col("_hot").alias("n"), "n_distinct", F.lit(True).alias("_hot"))
+    small = whole(h.filter("_hot is null").select(*keys, "v", "c")).withColumn("_hot", F.lit(False))
+    return small.unionByName(large)
+
+
+def _attached(rows: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
+    """Columns of a table with one row per hot group, of which there are few, beside the rows."""
+    t = table.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(F.broadcast(t), on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def beside(ranks: DataFrame, keys: list[str], wanted) -> DataFrame:
+    """Adds aggregates of the group to each row of a ranked histogram. ``wanted(of)`` gives name ->
+    expression, of turning an aggregate into the one that is asked for: over a window, or for hot
+    groups in an aggregation of its own whose rows are broadcast."""
+    group = Window.partitionBy(*keys)
+    over = lambda r: r.select("*", *[c.alias(n) for n, c in wanted(lambda c: c.over(group)).items()])
+    if "_hot" not in ranks.columns:
+        return over(ranks)
+    large = ranks.filter("_hot")
+    found = large.groupBy(*keys).agg(*[c.alias(n) for n, c in wanted(lambda c: c).items()])
+    return over(ranks.filter("not _hot")).unionByName(_attached(large, keys, found))
 
 
 def at_rank(k: Column, value: Column) -> Column:
@@ -46,11 +94,10 @@ def _between(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
 
 
-def percentile(p: float, over=None) -> Column:
+def percentile(p: float, of=lambda c: c) -> Column:
     """The p-th percentile of a group with linear interpolation between neighbours (numpy's
-    default), as an aggregate or over a window."""
+    default), as an aggregate, or what ``of`` makes of aggregates."""
     h = (F.col("n") - 1) * (p / 100.0)
-    of = (lambda c: c.over(over)) if over is not None else (lambda c: c)
     a, b = of(at_rank(F.floor(h), F.col("v"))), of(at_rank(F.least(F.floor(h) + 1, F.col("n") - 1), F.col("v")))
     return _between(a, b, of(F.max(h - F.floor(h))))
 
@@ -62,8 +109,7 @@ def exact_percentiles(ranks: DataFrame, keys: list[str], percents: dict[str, flo
 
 def clipped(ranks: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
     """A ranked histogram with the group's percentiles ``low`` and ``high``."""
-    group = Window.partitionBy(*keys)
-    return ranks.select("*", percentile(low, group).alias("low"), percentile(high, group).alias("high"))
+    return beside(ranks, keys, lambda of: {"low": percentile(low, of), "high": percentile(high, of)})
 
 
 def quantile_edges(values: np.ndarray, counts: np.ndarray, n_bins: int, clip: tuple[float, float]) -> list[float]:
@@ -211,9 +257,12 @@ def _edge_stream(keys: list[str], n_bins: int, clip: tuple[float, float]):
 
 def edges_by_group(ranks: DataFrame, keys: list[str], config: TokenizerConfig) -> DataFrame:
     """``keys, edges, low, high`` from a ranked histogram, low and high being the clip percentiles.
-    A task reads the distinct values of its groups one after the other."""
+    A task reads the distinct values of its groups one after the other, holding few of them."""
     clip = (config.bin_clip_min, config.bin_clip_max)
-    r = clipped(ranks, keys, *clip).sortWithinPartitions(*keys, "v")
+    r = clipped(ranks, keys, *clip)
+    if "_hot" in r.columns:
+        r = r.drop("_hot").repartition(*keys)
+    r = r.sortWithinPartitions(*keys, "v")
     types = {f.name: f.dataType.simpleString() for f in ranks.schema.fields}
     return r.mapInArrow(_edge_stream(keys, config.n_bins, clip), ", ".join(f"{k} {types[k]}" for k in keys) + ", edges array<double>, low double, high double")
 
@@ -222,11 +271,10 @@ def moments(ranks: DataFrame, keys: list[str], low: float, high: float) -> DataF
     """Fits of all four distributions to values clipped to the group's percentiles low and high:
     ``keys, low, high, mean, var, mu, sigma2, alpha, beta, vmin, vmax, n``. Variances are those of
     the population; the lognormal is fitted to positive values, and is 0 and 1 without any."""
-    group = Window.partitionBy(*keys)
     r = clipped(ranks, keys, low, high).withColumn("x", F.least(F.greatest("v", "low"), F.col("high")))
     pos = F.when(F.col("x") > 0, F.col("c"))
     log = F.log(F.when(F.col("x") > 0, F.col("x")))
-    r = r.select("*", (F.sum(F.col("x") * F.col("c")).over(group) / F.col("n")).alias("mean"), (F.sum(log * F.col("c")).over(group) / F.sum(pos).over(group)).alias("mu"))
+    r = beside(r, keys, lambda of: {"mean": of(F.sum(F.col("x") * F.col("c"))) / of(F.max("n")), "mu": of(F.sum(log * F.col("c"))) / of(F.sum(pos))})
     away, apart = F.col("x") - F.col("mean"), log - F.col("mu")
     out = r.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("low", "high", "mean", "mu", "n")], (F.sum(away * away * F.col("c")) / F.first("n")).alias("var"),

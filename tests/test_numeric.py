@@ -92,3 +92,21 @@ def test_edges_equal_all_steps_with_ties():
         n_bins = int(r.integers(2, 25))
         if len(np.unique(v[(v >= np.percentile(v, 1)) & (v <= np.percentile(v, 99))])) > 1:
             assert edges(v, n_bins) == all_steps(v, n_bins), k
+
+
+def test_hot_groups_in_blocks_give_the_same(spark, monkeypatch):
+    from eventloom.operators import distfit
+
+    r = np.random.default_rng(12)
+    rows = [(g, float(x)) for g, n in ((None, 400), ("a", 300), ("b", 6)) for x in np.r_[r.normal(3, 40, n), [0.0, -0.5, 5.0, 5.0]]]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+
+    def all_of():
+        h = ranked(histogram(df, ["k"], df["x"]), ["k"])
+        tables = [h.drop("_hot"), edges_by_group(h, ["k"], TokenizerConfig()), numeric.moments(h, ["k"], 1.0, 99.0), numeric.levels_by_group(h, ["k"], 12), distfit.recommend(df, ["k"], "x")]
+        show = lambda x: f"{x:.9g}" if isinstance(x, float) else str(x)
+        return [sorted(tuple(map(show, t)) for t in d.collect()) for d in tables]
+
+    one = all_of()
+    monkeypatch.setattr(numeric, "HOT_VALUES", 50)
+    assert "_hot" in ranked(histogram(df, ["k"], df["x"]), ["k"]).columns and all_of() == one
