@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.scalars import bin_midpoint, join_pieces, unscale
 from eventloom.operators import bpe
+from eventloom.operators.running import running, with_place_blocks
 from eventloom.operators.training import KEYS, TokenizerModel
 from eventloom.operators.vocab import ROW_STARTS
 
@@ -44,25 +45,22 @@ def token_strings(stream: DataFrame, model: TokenizerModel) -> DataFrame:
     return s.select(*[c for c in stream.columns if c != "token"], F.coalesce("token", F.decode("_bytes", "UTF-8"), F.concat(F.lit("<UNK:"), F.col("token_id").cast("string"), F.lit(">"))).alias("token"))
 
 
-def _walk(stream: DataFrame, model: TokenizerModel, key: str) -> DataFrame:
+def _walk(stream: DataFrame, model: TokenizerModel, key: str, hot: DataFrame | None = None) -> DataFrame:
     """Adds what a token belongs to: ``_who`` (number of the entity in the stream), ``_row`` (number
     of the row, also of what follows an end), ``_in`` (whether it lies in a row), ``_gap`` (the
     band of a time difference that this token completes) and ``_z`` (its value, null if missing)."""
     s = classified(stream, model).withColumn("_z", F.when(~F.isnan("val"), F.col("val")))
-    w = Window.partitionBy(key).orderBy("pos")
-    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    s = with_place_blocks(s, hot, key)
     ends = F.col("type").isin("sos", "eos", "pad")
     starts = F.col("type").isin(*ROW_STARTS)
     waits = F.when((F.col("type") == "time_delta") & F.col("_z").isNull(), F.col("band")).when(F.col("type").isin("Q", "num_marker", "class", *ROW_STARTS) | ends, F.lit(""))
-    s = s.select(
-        "*", F.sum((F.col("type") == "sos").cast("int")).over(so_far).alias("_who"), F.sum((starts | ends).cast("int")).over(so_far).alias("_row"),
-        F.last(F.when(starts | ends, starts), ignorenulls=True).over(so_far).alias("_in"), F.last(waits, ignorenulls=True).over(before).alias("_waiting"),
-    )
+    so_far = {"_who": ("sum", (F.col("type") == "sos").cast("int")), "_row": ("sum", (starts | ends).cast("int")), "_in": ("last", F.when(starts | ends, starts))}
+    s = running(running(s, [key], ["pos"], so_far, inclusive=True), [key], ["pos"], {"_waiting": ("last", waits)}, inclusive=False)
     done = F.when(F.col("type").isin("Q", "num_marker") & (F.col("_waiting") != ""), F.col("_waiting"))
     return s.withColumn("_gap", F.when(F.col("type") == "time_delta_fused", F.col("band")).when((F.col("type") == "time_delta") & F.col("_z").isNotNull(), F.col("band")).otherwise(done))
 
 
-def decode(stream: DataFrame, model: TokenizerModel, key: str = "id", reference_time: str = "1970-01-01 00:00:00", first_id: int | None = None, compat_times: bool = False) -> DataFrame:
+def decode(stream: DataFrame, model: TokenizerModel, key: str = "id", reference_time: str = "1970-01-01 00:00:00", first_id: int | None = None, compat_times: bool = False, hot: DataFrame | None = None) -> DataFrame:
     """The event table of token streams: ``id, time, class, text_value, numeric_value`` and
     ``_src``, the row's place in its stream. ``stream`` has ``key, pos, token_id, val``.
 
@@ -72,15 +70,17 @@ def decode(stream: DataFrame, model: TokenizerModel, key: str = "id", reference_
     at which its class token stands. (``compat_times``: the time at which the row ends, after the
     difference that belongs to the next row.) Bins give the middle of their edges; birth rows, ages
     and milestones do not come back. An empty stream gives an empty table.
+
+    ``hot`` (``running.hot_ids(stream, key)`` of a stored stream) holds the keys whose streams go in
+    blocks of places, with the same results.
     """
     c = model.config
-    s = _byte_table(_walk(stream, model, key), model)
+    s = _byte_table(_walk(stream, model, key, hot), model)
     gaps = model.gaps.select(F.col("band").alias("_b"), F.col("type").alias("_gt"), F.col("edges").alias("_ge"), F.col("p").alias("_gp"))
     s = s.join(F.broadcast(gaps), F.col("_gap") == F.col("_b"), "left")
     seconds = F.when(F.col("_gt") == "bins", bin_midpoint(F.col("_ge"), F.col("qual_index"))).when((F.col("_gt") == "scaling") & F.col("_z").isNotNull(), F.greatest(unscale(F.col("_z"), F.col("_gp")), F.lit(0.0)))
     s = s.withColumn("_dt", F.coalesce(seconds, F.lit(0.0)))
-    here = Window.partitionBy(key, "_who").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_t", F.sum("_dt").over(here))
+    s = running(s, [key, "_who"], ["pos"], {"_t": ("sum", F.col("_dt"))}, inclusive=True)
     own = F.col("_gap").isNull()
     text = F.col("type").isin(*TEXT_TYPES)
     piece = F.when(text, F.struct("pos", F.coalesce("piece", F.lit("")).alias("piece"), F.col("_bytes").alias("bytes"), (F.col("type") == "bpe").alias("is_bpe")))

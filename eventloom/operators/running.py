@@ -13,10 +13,10 @@ HOT_ROWS = 2_000_000
 BLOCK_US, BLOCK_SRC = 3_600_000_000, 1_000_000
 
 
-def hot_ids(events: DataFrame) -> DataFrame | None:
-    """``id, _n`` of the entities with more than HOT_ROWS rows, of which there is at most one per
-    HOT_ROWS rows; None without any."""
-    hot = cut(events.groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS))
+def hot_ids(events: DataFrame, key: str = "id") -> DataFrame | None:
+    """``id`` (or another key) and ``_n`` of the entities with more than HOT_ROWS rows, of which
+    there is at most one per HOT_ROWS rows; None without any."""
+    hot = cut(events.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS))
     return None if hot.isEmpty() else hot
 
 
@@ -31,8 +31,13 @@ def with_blocks(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     return rows.withColumn("_blk", F.when(F.col("_hot").isNotNull(), block).otherwise(F.lit(0)).cast("long"))
 
 
-def without_blocks(rows: DataFrame) -> DataFrame:
-    return rows.drop("_hot", "_blk")
+def with_place_blocks(stream: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
+    """The same for a token stream: blocks of BLOCK_SRC places."""
+    if hot is None:
+        return stream
+    ids = hot.select(F.col(key).alias("_hid"), F.col("_n").alias("_hot"))
+    stream = stream.join(F.broadcast(ids), F.col(key).eqNullSafe(F.col("_hid")), "left").drop("_hid")
+    return stream.withColumn("_blk", F.when(F.col("_hot").isNotNull(), F.floor(F.col("pos") / BLOCK_SRC)).otherwise(F.lit(0)).cast("long"))
 
 
 def running(rows: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, Column]], inclusive: bool) -> DataFrame:

@@ -90,7 +90,7 @@ def test_one_exchange_by_id(spark):
 
 def test_hot_histories_in_blocks_give_the_same(spark, table, monkeypatch):
     """Every id beyond ten rows goes in blocks of an hour."""
-    from eventloom.operators import encode, running
+    from eventloom.operators import decode, encode, running
     from eventloom.operators.training import train
     from eventloom.sources.events import canonical
 
@@ -100,10 +100,15 @@ def test_hot_histories_in_blocks_give_the_same(spark, table, monkeypatch):
     rows = lambda df: sorted(map(str, df.collect()))
     births = birth_dates(e, c)
     one, gaps, model = rows(timeline(e, c, births)), rows(whole_second_gaps(e, c)), train(e, c)
-    whole, index = rows(encode.encode(e, model)), rows(encode.global_row_index(e))
+    stream = encode.encode(e, model)
+    whole, index, back = rows(stream), rows(encode.global_row_index(e)), decode.decode(stream, model)
+    near = lambda df: sorted((str(r["id"]), r["_src"], r["class"], str(r["text_value"]), str(r["numeric_value"]), round(r["time"].timestamp(), 3)) for r in df.collect())
+    back = near(back)
     monkeypatch.setattr(running, "HOT_ROWS", 10)
+    monkeypatch.setattr(running, "BLOCK_SRC", 50)
     hot = running.hot_ids(e)
     assert hot is not None and hot.count() > 5
     assert rows(timeline(e, c, births, hot)) == one
     assert rows(whole_second_gaps(e, c, running.hot_ids(clinical(e, c)))) == gaps
     assert rows(encode.encode(e, model)) == whole and rows(encode.global_row_index(e)) == index
+    assert near(decode.decode(stream, model, hot=running.hot_ids(stream))) == back
