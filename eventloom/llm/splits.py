@@ -9,6 +9,8 @@ from eventloom.frames import cut, pick
 
 SHARES = {"train": 80, "validation": 10, "test": 10}
 ROUNDS = 60
+#: Members of a cluster from which its minimum is broadcast instead of joined.
+LARGE = 1_000_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = ROUNDS) -> DataFrame:
@@ -29,9 +31,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = ROUND
     mark = lambda s: tuple(s.agg(F.count("*"), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first())
     before = mark(state)
     for _ in range(rounds):
-        least = state.groupBy("node").agg(F.min("member").alias("m"))
+        least = state.groupBy("node").agg(F.min("member").alias("m"), F.count("*").alias("n"))
+        # at most one cluster per LARGE rows is large
+        large = F.broadcast(least.filter(F.col("n") > LARGE).select("node", F.col("m").alias("_m")))
+        met = state.join(large, "node", "left")
+        met = met.filter("_m is null").drop("_m").join(least.select("node", "m"), "node").unionByName(met.filter("_m is not null").withColumnRenamed("_m", "m"))
         sent = F.explode(F.array(F.struct(F.col("m").alias("node"), F.col("member").alias("member")), F.struct(F.col("member").alias("node"), F.col("m").alias("member"))))
-        state = cut(state.join(least, "node").select(sent.alias("x")).select("x.*").distinct())
+        state = cut(met.select(sent.alias("x")).select("x.*").distinct())
         after = mark(state)
         if after == before:
             return state.groupBy("node").agg(F.min("member").alias("group_id")).select("group_id", F.col("node").alias("id"))

@@ -46,6 +46,10 @@ def read_ranks(path: str = VOCABULARY) -> list[bytes]:
     return [t for _, t in pairs]
 
 
+#: Later than any merge.
+NEVER = 1 << 62
+
+
 class Codec:
     """Encoder and decoder for one vocabulary."""
 
@@ -66,8 +70,9 @@ class Codec:
         self.automaton.make_automaton()
         #: The next shorter token with which a token begins, or -1.
         self.shorter = [next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.rank), -1) for t in tokens]
-        #: The two tokens that a token is merged from (itself twice if it can't be merged).
-        self.parts: list[tuple[int, int]] = []
+        #: The tokens that end, and that begin, a token while it is put together, in order of their merges.
+        self.rights: list[tuple[int, ...]] = []
+        self.lefts: list[tuple[int, ...]] = []
         self.merge: dict[tuple[int, int], int] = {}
         for i, t in enumerate(tokens):
             left = self.shorter[i]
@@ -78,36 +83,36 @@ class Codec:
                 left = self.shorter[left]
             if left >= 0:
                 self.merge[left, right] = i
-                self.parts.append((left, right))
+                self.rights.append((*self.rights[right], i))
+                self.lefts.append((*self.lefts[left], i))
             else:
-                self.parts.append((i, i))
+                self.rights.append((i,))
+                self.lefts.append((i,))
         self.known: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _fit(self, a: int, b: int) -> bool:
-        """Whether encoding the bytes of a and b together gives a, b: no merge across their border
-        comes before the merges that make them up."""
-        limit = 1 << 62
+        """Whether encoding the bytes of a and b together gives a, b.
+
+        Merges happen in order of their ids. While a and b grow, the tokens at their border are those
+        on the right spine of a and the left spine of b, each from its own merge until the merge of
+        the next. Both spines are walked in that order; where a merge across the border comes
+        before the next merge on either side, it happens. Of equal merges the left one comes first.
+        """
+        left, right = self.rights[a], self.lefts[b]
+        i = j = 0
         while True:
-            m = self.merge.get((a, b))
-            if m is not None and m < limit:
+            next_left = left[i + 1] if i + 1 < len(left) else NEVER
+            next_right = right[j + 1] if j + 1 < len(right) else NEVER
+            m = self.merge.get((left[i], right[j]))
+            if m is not None and m < next_left and m <= next_right:
                 return False
-            if a > b:
-                limit = a
-                a = self.parts[a][1]
-                if a == limit:
-                    limit = b + 1
-                    b = self.parts[b][0]
-                    if b + 1 == limit:
-                        return True
+            if next_left == next_right == NEVER:
+                return True
+            if next_left <= next_right:
+                i += 1
             else:
-                limit = b + 1
-                b = self.parts[b][0]
-                if b + 1 == limit:
-                    limit = a
-                    a = self.parts[a][1]
-                    if a == limit:
-                        return True
+                j += 1
 
     def _compatible(self, a: int, b: int) -> bool:
         ok = self.pairs.get((a, b))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ def brute(edges):
     return sorted((find(x), x) for x in parent)
 
 
-def test_random_chain_and_hub(spark):
+@pytest.mark.parametrize("large", [S.LARGE, 20])
+def test_random_chain_and_hub(spark, monkeypatch, large):
+    monkeypatch.setattr(S, "LARGE", large)
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(110)] + [(1000 + k, 1001 + k) for k in range(70)] + [(5000, 5000 + k) for k in range(1, 300)] + [(None, 3), (9, None), (77777, 77777)]
     edges += [(b, a) for a, b in edges[:40]]
