@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.config import SPLIT_PATTERN
@@ -132,6 +132,20 @@ def train_merges(texts: DataFrame, vocab_size: int, text: str = "text", pattern:
     return learn_merges(((r["chunk"].encode("utf-8"), r["n"]) for r in rows), vocab_size)
 
 
+def train_from_texts(texts: Iterable[str], vocab_size: int, pattern: str = SPLIT_PATTERN) -> list[Pair]:
+    """Merges of texts that come one after the other, without a session; only the counts of their
+    distinct chunks are held. Null texts count nothing."""
+    split, counts = regex.compile(pattern), Counter()
+    for t in texts:
+        counts.update(split.findall(t or ""))
+    return learn_merges(((c.encode("utf-8"), n) for c, n in sorted(counts.items())), vocab_size)
+
+
+def ranks(spark: SparkSession, merges: Sequence[Pair]) -> DataFrame:
+    """``token_id, bytes``: the bytes of all tokens, the 256 single ones first."""
+    return spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(token_bytes(merges))], "token_id long, bytes binary")
+
+
 class Merger:
     """Encodes chunks with learned merges: always the earliest learned pair, from the left."""
 
@@ -166,6 +180,14 @@ class Merger:
                 heapq.heappush(heap, (r, h))
         return tuple(x for x in ids if x >= 0)
 
+    @property
+    def vocab_size(self) -> int:
+        return len(self.bytes)
+
+    def mergeable_ranks(self) -> dict[bytes, int]:
+        """The id of each token's bytes, in order of id."""
+        return {b: i for i, b in enumerate(self.bytes)}
+
     def encode(self, text: str) -> list[int]:
         return [i for c in self.pattern.findall(text) for i in self.chunk(c)]
 

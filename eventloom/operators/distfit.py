@@ -27,10 +27,11 @@ def recommend(rows: DataFrame, keys: list[str], value: str = "numeric_value", cl
     Numbers are clipped to the group's clip percentiles first. A distribution's score is the root
     mean square difference between its scaled percentiles and the normal ones. Bounded groups
     (0 to 100, range at most 100) whose 90th percentile lies in the upper fifth take minmax if it
-    scores under 2; groups with negative numbers take normal; others the smallest score, ties in
-    the order normal, lognormal, gamma, minmax. Lognormal and gamma need positive numbers.
+    scores under 2; groups with negative numbers take normal; others the smallest score to nine
+    digits, ties in the order normal, lognormal, gamma, minmax (normal and gamma fitted by moments
+    score alike, and the last digits of sums don't decide between them). Lognormal and gamma need positive numbers.
     Null keys are groups; smaller groups and empty tables give no rows. Everything is computed
-    from one histogram per group.
+    from one histogram per group; large groups come first.
     """
     r = ranked(histogram(rows, keys, F.col(value)), keys).filter(F.col("n") >= least_rows)
     r = beside(r, keys, lambda of: {"low": of(at_rank(nearest(clip[0]), F.col("v"))), "high": of(at_rank(nearest(clip[1]), F.col("v")))})
@@ -65,10 +66,10 @@ def recommend(rows: DataFrame, keys: list[str], value: str = "numeric_value", cl
     g = g.select("*", *[score(f).alias(f"{f}_norm_score") for f in FAMILIES])
     spread = F.col("max_val") - F.col("min_val")
     clustered = (spread <= 100) & (F.col("max_val") <= 100) & (F.col("min_val") >= 0) & (F.col("p90") > F.col("min_val") + 0.8 * spread)
-    order = F.array_min(F.array_compact(F.array(*[F.when(F.col(f"{f}_norm_score").isNotNull(), F.struct(F.col(f"{f}_norm_score").alias("s"), F.lit(i).alias("i"))) for i, f in enumerate(FAMILIES)])))
+    order = F.array_min(F.array_compact(F.array(*[F.when(F.col(f"{f}_norm_score").isNotNull(), F.struct(F.round(f"{f}_norm_score", 9).alias("s"), F.lit(i).alias("i"))) for i, f in enumerate(FAMILIES)])))
     best = F.get(F.array(*map(F.lit, FAMILIES)), order["i"])
     pick = F.when(clustered & (F.col("minmax_norm_score") < 2.0), F.lit("minmax")).when(F.col("min_val") < 0, F.lit("normal")).otherwise(best)
     return g.select(
         *keys, "count", "mean", "std", "min_val", "max_val", "skewness", spread.alias("range"), (F.col("min_val") < 0).alias("has_negatives"), clustered.alias("is_clustered_high"), *names,
         *[f"{f}_norm_score" for f in FAMILIES], pick.alias("recommendation"),
-    )
+    ).orderBy(F.desc("count"), *keys)

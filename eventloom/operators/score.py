@@ -18,6 +18,7 @@ GROUPS = {
     "class_concept_Q": "fused", "class_concept_L": "fused",
 }
 REPORTED = ("eos", "time", "milestone", "age", "class", "text", "numeric", "level", "fused")
+# The types of tokens that stand for a bin, and those that carry a scaled value.
 BINNED = ("Q", "time_delta_fused", "fused_concept_Q", "class_concept_Q")
 CONTINUOUS = ("num_marker", "time_delta", "concept", "class_concept")
 
@@ -62,9 +63,13 @@ def adjusted(bits: DataFrame, model: TokenizerModel, tail_mode: str = "width", k
     return out.select(*bits.columns, "type", "ctx_kind", group_of(F.col("type"), F.col("ctx_kind")).alias("group"), F.col("type").isin(*ROW_STARTS).alias("starts_row"), "adjustment")
 
 
-def bits_per_row(bits: DataFrame, model: TokenizerModel, tail_mode: str = "width", key: str = "id") -> DataFrame:
+def bits_per_row(bits: DataFrame, model: TokenizerModel, tail_mode: str = "width", key: str = "id", n_batches: int | None = None, batch_size: int = 1) -> DataFrame:
     """One row: ``bpr, bpr_raw``, the bits per row of each group, ``n_rows, tokens_per_row,
-    tail_mode``. Start, padding and row tokens do not count; without rows the divisor is 1."""
+    tail_mode``. Start, padding and row tokens do not count; without rows the divisor is 1. ``n_batches`` scores the sequences of the first n_batches * batch_size keys
+    only."""
+    if n_batches is not None:
+        some = bits.select(F.col(key).alias("_some")).distinct().orderBy("_some").limit(n_batches * batch_size)
+        bits = bits.join(some, F.col(key).eqNullSafe(F.col("_some")), "left_semi")
     a = adjusted(bits, model, tail_mode, key).filter(F.col("group") != "mask").withColumn("_b", F.col("bits") + F.col("adjustment"))
     rows = F.greatest(F.sum(F.col("starts_row").cast("long")), F.lit(1))
     per = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) / rows

@@ -61,7 +61,7 @@ def percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def _fits(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
     # the added 1e-9 keeps ties of the rounding from depending on the last bit of a sum
-    return numeric.moments(_ranks(_rows(spark, d)), KEYS, 1.0, 99.0).select(*KEYS, *[F.round(F.col(n) + 1e-9, 6).alias(n) for n in names])
+    return numeric.moments(_ranks(_rows(spark, d)), KEYS, 1.0, 99.0).select(*KEYS, *[(F.round(F.col(n) + 1e-9, 6) + 0.0).alias(n) for n in names])
 
 
 def normal_params(spark: SparkSession, d: str) -> DataFrame:
@@ -119,6 +119,13 @@ def distribution_advice(spark: SparkSession, d: str) -> DataFrame:
     return distfit.recommend(_rows(spark, d), KEYS)
 
 
+def advice_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores behind the advice; -1 stands for none."""
+    a = distfit.recommend(_rows(spark, d), KEYS)
+    scores = [F.coalesce(F.round(F.col(f"{f}_norm_score") + 1e-9, 4), F.lit(-1.0)).alias(f) for f in distfit.FAMILIES]
+    return a.select(*KEYS, "count", (F.round(F.col("mean") + 1e-9, 5) + 0.0).alias("mean"), F.col("p50"), F.col("p99_9"), *scores, "is_clustered_high", "recommendation")
+
+
 def time_deltas(spark: SparkSession, d: str) -> DataFrame:
     return timeline.whole_second_gaps(testdata.demo(spark, d), TokenizerConfig()).select("id", "gap_s")
 
@@ -330,7 +337,7 @@ def bpe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         text_mode_stats, numeric_group_stats, level_tables, percentile_bounds, normal_params, lognormal_params, gamma_params, minmax_params, scaled_values, unscaled_values, digitized, quantile_edges,
-        adaptive_edges, distribution_advice, time_deltas, band_counts, state_timeline, age_tokens, sos_eos_boundaries, *[_milestones(k) for k in ("week", "month", "daily", "12hr", "8hr")],
+        adaptive_edges, distribution_advice, advice_scores, time_deltas, band_counts, state_timeline, age_tokens, sos_eos_boundaries, *[_milestones(k) for k in ("week", "month", "daily", "12hr", "8hr")],
         concept_split_delim, concept_split_width, class_fusion_tokens, vocab_special, encode_tokens_factored, encode_tokens_fused, vocab_full, encode_continuous, decode_values, density_widths, density_slopes, encode_token_counts, encode_demo, encode_debug, sequence_lengths,
         train_pairs, row_idx_map, decode_roundtrip, decode_levels, token_type_counts, numeric_contexts, bpr_groups, density_bits, meds_split, bpe_chunk_bytes, bpe_chunk_counts, bpe_byte_pairs, bpe_merges, bpe_roundtrip,
     ]

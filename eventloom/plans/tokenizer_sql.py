@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+from eventloom.operators.distfit import PERCENTS
 from eventloom.plans.tokenizer_queries import EDGES, WORDS
 
 CLINICAL = "(select * from demo where not (class = 'demographic' and text_value = 'birth_date'))"
@@ -19,7 +22,7 @@ def _clipped(rows: str, low: float = 0.01, high: float = 0.99) -> str:
 
 
 def _fit(names: list[str], rows: str = NUMBERS, digits: int = 6) -> str:
-    return f"with {_clipped(rows)} select class, text_value, {', '.join(f'round({n} + 1e-9, {digits}) as {n}' for n in names)} from f"
+    return f"with {_clipped(rows)} select class, text_value, {', '.join(f'round({n} + 1e-9, {digits}) + 0.0::double as {n}' for n in names)} from f"
 
 
 _SCALED = {
@@ -83,6 +86,27 @@ def _milestones(kind: str) -> str:
       select _src, {mark} as token from z where key is not null and key is distinct from before"""
 
 
+def _advice() -> str:
+    z = [NormalDist().inv_cdf(p / 100) for p in PERCENTS]
+    at = lambda c, p: f"{c}[(floor((n - 1) * {p / 100.0}::double + 0.5) + 1)::bigint]"
+    score = lambda f: f"sqrt(({' + '.join(f'power({f(f'q[{i + 1}]')} - ({x!r}), 2)' for i, x in enumerate(z))}) / {len(z)})"
+    return f"""
+      with l as (select class, text_value, count(*) as n, list(v order by v) as vs from {NUMBERS} group by class, text_value having count(*) >= 30),
+      c as (select class, text_value, n, list_transform(vs, lambda v: least(greatest(v, {at('vs', 1.0)}), {at('vs', 99.0)})) as xs from l),
+      e as (select class, text_value, n, unnest(xs) as x from c),
+      m as (select class, text_value, avg(x) as mean, var_pop(x) as var, min(x) as lo, max(x) as hi, avg(case when x > 0 then ln(x) end) as mu, var_pop(case when x > 0 then ln(x) end) as s2 from e group by class, text_value),
+      q as (select c.class, c.text_value, n, m.* exclude (class, text_value), [{', '.join(at('xs', p) for p in PERCENTS)}] as q, case when var > 0 then mean * mean / var else 1 end as a, case when mean > 0 then var / mean else 1 end as b
+        from c join m on c.class is not distinct from m.class and c.text_value is not distinct from m.text_value),
+      s0 as (select *, {score(lambda x: f'({x} - mean) / sqrt(greatest(var, 1e-8))')} as normal, case when lo > 0 then {score(lambda x: f'(ln({x}) - mu) / sqrt(greatest(s2, 1e-8))')} end as lognormal,
+        case when lo > 0 then {score(lambda x: f'({x} - a * b) / sqrt(greatest(a * b * b, 1e-8))')} end as gamma, {score(lambda x: f'({x} - lo) / greatest(hi - lo, 1e-8)')} as minmax,
+        hi - lo <= 100 and hi <= 100 and lo >= 0 and q[{PERCENTS.index(90) + 1}] > lo + 0.8 * (hi - lo) as high from q),
+      s as (select * replace (round(normal, 9) as normal, round(lognormal, 9) as lognormal, round(gamma, 9) as gamma, round(minmax, 9) as minmax) from s0)
+      select class, text_value, n as count, round(mean + 1e-9, 5) + 0.0::double as mean, q[{PERCENTS.index(50) + 1}] as p50, q[{PERCENTS.index(99.9) + 1}] as p99_9, round(normal + 1e-9, 4) as normal, coalesce(round(lognormal + 1e-9, 4), -1) as lognormal,
+        coalesce(round(gamma + 1e-9, 4), -1) as gamma, round(minmax + 1e-9, 4) as minmax, high as is_clustered_high,
+        case when high and minmax < 2 then 'minmax' when lo < 0 then 'normal' when normal <= least(coalesce(lognormal, 1e9), coalesce(gamma, 1e9), minmax) then 'normal'
+          when lognormal <= least(coalesce(gamma, 1e9), minmax) then 'lognormal' when gamma <= minmax then 'gamma' else 'minmax' end as recommendation from s"""
+
+
 GAPS = f"""(select id, (epoch_us(time) - epoch_us(prev)) // 1000000 as gap_s from (select id, time, lag(time) over (partition by id order by time nulls first, _src) as prev from {CLINICAL}) where time > prev)"""
 
 SPECIAL = """
@@ -185,6 +209,7 @@ def oracle_sql() -> dict[str, str]:
         "unscaled_values": "select o_orderkey as _src, round(o_totalprice, 2) as normal, round(o_totalprice, 2) as lognormal, round(o_totalprice, 2) as gamma, round(o_totalprice, 2) as minmax from orders",
         "digitized": DIGITIZED,
         "quantile_edges": QUANTILE_EDGES,
+        "advice_scores": _advice(),
         "time_deltas": f"select id, gap_s from {GAPS} where gap_s > 0",
         "band_counts": f"select (case when gap_s <= 3600 then 0 when gap_s <= 86400 then 1 when gap_s <= 604800 then 2 else 3 end)::int as band, count(*) as n from {GAPS} where gap_s > 0 group by 1",
         "state_timeline": STATE,

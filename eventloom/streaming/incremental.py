@@ -15,7 +15,7 @@ from eventloom.operators.encode import row_tokens
 from eventloom.operators.timeline import is_birth
 from eventloom.operators.training import TokenizerModel
 
-STATE = "rn long, seg int, prev long, state string, ms string, age int, born long"
+STATE = "rn long, prev long, state string, ms string, age int, born long"
 LINES = "id long, time timestamp_ntz, class string, text_value string, numeric_value double, _src long, _birth boolean, _rn long, _sos boolean, _eos boolean, _dt_us long, _band int, _state string, _ms string, _age int"
 
 
@@ -39,7 +39,7 @@ def _advance(config: TokenizerConfig):
     kinds = config.milestone_per_state or {}
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rn, seg, prev, now, ms, age, born = state.get if state.exists else (0, 0, None, config.initial_state, None, None, None)
+        rn, prev, now, ms, age, born = state.get if state.exists else (0, None, config.initial_state, None, None, None)
         rows = pd.concat(list(frames)).sort_values(["_us", "_src"], na_position="first", kind="stable")
         out = []
         for r in rows.itertuples(index=False):
@@ -67,7 +67,7 @@ def _advance(config: TokenizerConfig):
                         line["_age"] = age = int(years)
                 prev = us if us is not None else prev
             out.append({**{c: r[c] for c in ("id", "class", "text_value", "numeric_value", "_src")}, "time": None if us is None else _moment(us), **line})
-        state.update((rn, seg, prev, now, ms, age, born))
+        state.update((rn, prev, now, ms, age, born))
         names = [c.strip().split()[0] for c in LINES.split(",")]
         yield pd.DataFrame(out, columns=names)
 
@@ -77,7 +77,7 @@ def _advance(config: TokenizerConfig):
 def timeline_stream(events: DataFrame, config: TokenizerConfig) -> DataFrame:
     """The timeline of a stream of canonical events (``id`` long). Rows are taken in order of (time,
     _src) within a micro-batch; a row older than its entity's last one emits no time difference,
-    like rows of one time. Sequences have no end token: an entity may always go on. Kept per entity: seven
+    like rows of one time. Sequences have no end token: an entity may always go on. Kept per entity: six
     values."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 

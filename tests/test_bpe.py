@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from conftest import rows_of
 
+from eventloom.config import SPLIT_PATTERN
 from eventloom.operators import bpe
 from eventloom.operators.distfit import recommend
 
@@ -65,6 +66,27 @@ def test_corpus(spark, table):
         enc.decode([255])
 
 
+def test_same_ids_as_another_encoder(table):
+    """The default pattern and merges learned from the documents, against an encoder of its own."""
+    import tiktoken
+
+    texts = [r["text"] for r in table("documents").collect() if r["text"]]
+    m = bpe.Merger(bpe.train_from_texts(texts, 700))
+    other = tiktoken.Encoding("x", pat_str=SPLIT_PATTERN, mergeable_ranks=m.mergeable_ranks(), special_tokens={})
+    assert m.vocab_size == 700 and [m.encode(t) for t in texts] == [other.encode_ordinary(t) for t in texts]
+    long = "ab" * 3000 + "é" * 500
+    assert m.encode(long) == other.encode_ordinary(long)
+
+
+def test_texts_one_after_the_other_and_ranks(spark, table):
+    docs = table("documents")
+    assert bpe.train_from_texts((r["text"] for r in docs.collect()), 400) == bpe.train_merges(docs, 400)
+    got = {r["token_id"]: bytes(r["bytes"]) for r in bpe.ranks(spark, [(97, 98), (256, 99)]).collect()}
+    assert len(got) == 258 and got[255] == b"\xff" and got[257] == b"abc"
+    with pytest.raises(ValueError, match="distinct chunks"):
+        bpe.train_merges(docs, 400, most_chunks=10)
+
+
 def test_pair_counts(spark):
     c = spark.createDataFrame([("abab", 2), ("é", 1), ("x", 9)], "chunk string, n long")
     assert rows_of(bpe.pair_counts(c), "left", "right", "n") == [(97, 98, 4), (98, 97, 2), (195, 169, 1)]
