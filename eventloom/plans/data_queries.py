@@ -79,8 +79,8 @@ PERIODS = """
     union all select id, 'gap', epoch_us(f) // 1000000, epoch_us(u) // 1000000 from g where u is not null"""
 
 
-def _found_units() -> str:
-    """The rule for recorded units in SQL; the reach of a patient comes from the stated values."""
+def _readings() -> str:
+    """The values of quantities with the unit that the text names, as table r: src, id, quantity, stated, v."""
     spelled = ", ".join(f"('{s.replace(chr(39), chr(39) * 2)}', '{u}')" for u, forms in units.UNIT_SPELLINGS.items() for s in forms)
     number = "[0-9]+(?:[.,][0-9]+)?"
     sides = r"^[\s,:;=()\[\]_-]+|[\s,:;=()\[\]_-]+$"
@@ -95,7 +95,17 @@ def _found_units() -> str:
     u as (select *, regexp_replace(regexp_replace(regexp_replace(case when regexp_matches(u0, '^in\\s+\\S') then regexp_replace(u0, '^in\\s+', '') else u0 end, '\\s*\\bper\\b\\s*|_', '/', 'g'), '\\s+', '', 'g'), 'lit(re|er)s?', 'l', 'g') as u1 from l),
     v as (select u.src, u.id, u.quantity, q.unit as stated, coalesce(try_cast(nullif(replace(num, ',', '.'), '') as double), case when not isnan(x) then x end) as v
       from u left join spelled s on s.s = case when med then mass else regexp_replace(u1, '^gm', 'g') end left join units q on q.quantity = u.quantity and q.unit = s.unit),
-    r as (select * from v where v is not null qualify row_number() over (partition by src order by stated nulls last) = 1),
+    r as (select * from v where v is not null qualify row_number() over (partition by src order by stated nulls last) = 1)"""
+
+
+def _usual_units() -> str:
+    return f"""{_readings()}
+    select distinct s.site, s.quantity, s.unit from r join entities e on e.id = r.id join site_units s on s.site = e.site and s.quantity = r.quantity where r.stated is null"""
+
+
+def _found_units() -> str:
+    """The rule for recorded units in SQL; the reach of a patient comes from the stated values."""
+    return f"""{_readings()},
     e as (select r.quantity, r.id, min(v * factor + shift) as least, max(v * factor + shift) as most from r join units c on c.quantity = r.quantity and c.unit = r.stated group by r.quantity, r.id, r.stated),
     b as (select quantity, quantile_disc(least, {units.REACH_TAIL}) as lo, quantile_disc(most, {1 - units.REACH_TAIL}) as hi from e group by quantity),
     w as (select c.quantity, c.unit, c.common_unit, (case when s > 0 then lo - {units.REACH_RANGES} * (hi - lo) else lo / {units.REACH_FACTOR} end - shift) / factor as lo, (case when s > 0 then hi + {units.REACH_RANGES} * (hi - lo) else hi * {units.REACH_FACTOR} end - shift) / factor as hi
@@ -141,4 +151,4 @@ RULES = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _found_units(), "p2_graph": "select distinct site, quantity, unit from site_units", "p3_plain": _plain_cells(), "p3_totals": TOTALS, "p5_rules": RULES, "p7_found": PERIODS}
+    return {"p2_found": _found_units(), "p2_graph": _usual_units(), "p3_plain": _plain_cells(), "p3_totals": TOTALS, "p5_rules": RULES, "p7_found": PERIODS}
