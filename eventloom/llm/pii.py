@@ -44,7 +44,7 @@ HIDDEN = 0.35
 #: Rows of a table of names or items; the recogniser is broadcast with them, and more are refused.
 GAZETTEER = 100_000
 
-TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+|\s+|.", regex.DOTALL)
+TOKEN = regex.compile(r"(\s*)(\p{L}[\p{L}\p{M}]*|\p{N}+|\S)")
 AGAIN = regex.compile(r"(\p{L})\1{2,}")
 
 
@@ -54,14 +54,16 @@ AGAIN = regex.compile(r"(\p{L})\1{2,}")
 def tokens_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Tokens, each with a first character that tells what stands before it (nothing, blank, line
     break), and the places in the text where they begin and end."""
-    pieces = TOKEN.findall(text)
-    if not pieces:
+    pairs = TOKEN.findall(text)
+    if not pairs:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-    blank = [p.isspace() for p in pieces]
-    out = [("." if not c else "^" if "\n" in q else "_") + p for p, d, q, c in zip(pieces, blank, ["\n", *pieces], [True, *blank]) if not d]
-    at = np.flatnonzero(~np.array(blank))
-    return out, end[at] - np.fromiter(map(len, out), np.int64, len(out)) + 1, end[at]
+    blanks, words = zip(*pairs)
+    size = np.fromiter(map(len, words), np.int64, len(pairs))
+    end = np.cumsum(size + np.fromiter(map(len, blanks), np.int64, len(pairs)))
+    out = [("_" if b == " " else "." if not b else "^" if "\n" in b else "_") + w for b, w in pairs]
+    if not blanks[0]:
+        out[0] = "^" + words[0]
+    return out, end - size, end
 
 
 def features(token: str, given: set[str], family: set[str], brand: set[str], hidden: bool = False) -> list[str]:
