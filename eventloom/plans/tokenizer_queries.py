@@ -241,6 +241,14 @@ def encode_demo(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(e, m)
 
 
+def encode_structure(spark: SparkSession, d: str) -> DataFrame:
+    """What encode_demo does but for byte pairs, in order within each id; bins and levels left out."""
+    c = _simple(time_scales=[3600, 86_400], milestone_per_state={"inpatient": "8hr", "outpatient": "week"}, **STATES)
+    e, m = _trained(spark, d, c, testdata.demo)
+    s = encode.encode(e, m).filter(~F.col("token").rlike(r"^<\|[QL][0-9]+\|>$"))
+    return s.select("id", F.row_number().over(Window.partitionBy("id").orderBy("pos")).alias("k"), "row_no", "token")
+
+
 def encode_debug(spark: SparkSession, d: str) -> DataFrame:
     e, m = _trained(spark, d, _simple(num_type="continuous", num_seq="fused"))
     return encode.debug(e, m).select("_src", F.array_join("tokens", " ").alias("tokens"))
@@ -338,7 +346,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         text_mode_stats, numeric_group_stats, level_tables, percentile_bounds, normal_params, lognormal_params, gamma_params, minmax_params, scaled_values, unscaled_values, digitized, quantile_edges,
         adaptive_edges, distribution_advice, advice_scores, time_deltas, band_counts, state_timeline, age_tokens, sos_eos_boundaries, *[_milestones(k) for k in ("week", "month", "daily", "12hr", "8hr")],
-        concept_split_delim, concept_split_width, class_fusion_tokens, vocab_special, encode_tokens_factored, encode_tokens_fused, vocab_full, encode_continuous, decode_values, density_widths, density_slopes, encode_token_counts, encode_demo, encode_debug, sequence_lengths,
+        concept_split_delim, concept_split_width, class_fusion_tokens, vocab_special, encode_tokens_factored, encode_tokens_fused, vocab_full, encode_continuous, decode_values, density_widths, density_slopes, encode_token_counts, encode_demo, encode_structure, encode_debug, sequence_lengths,
         train_pairs, row_idx_map, decode_roundtrip, decode_levels, token_type_counts, numeric_contexts, bpr_groups, density_bits, meds_split, bpe_chunk_bytes, bpe_chunk_counts, bpe_byte_pairs, bpe_merges, bpe_roundtrip,
     ]
     return {f.__name__: f for f in found}

@@ -107,6 +107,19 @@ def _advice() -> str:
           when lognormal <= least(coalesce(gamma, 1e9), minmax) then 'lognormal' when gamma <= minmax then 'gamma' else 'minmax' end as recommendation from s"""
 
 
+STRUCTURE = f"""with {LINE},
+      a as (select *, case when years between 0 and 120 then years end as ok,
+        case when dt is not null then g || '/' || case state when 'inpatient' then {_KINDS['8hr'][1]} else {_KINDS['week'][1]} end end as key from t),
+      c as (select *, last_value(ok ignore nulls) over w as old, last_value(key ignore nulls) over w as past from a window w as (partition by id, seg order by rn rows between unbounded preceding and 1 preceding)),
+      l as (select id, rn, case when birth or rn = 1 then ['<|sos|>'] else [] end as s, case when ends then ['<|eos|>'] else [] end as e, case when birth then [] else
+          (case when dt is not null then ['<|delta_time_' || case when dt <= 3600e6 then 0 when dt <= 86400e6 then 1 else 2 end || '|>'] else [] end)
+          || (case when key is distinct from past and key is not null then [case state when 'inpatient' then {_KINDS['8hr'][0]} else {_KINDS['week'][0]} end] else [] end)
+          || (case when ok is not null and ok is distinct from old then ['<|age_' || ok || '|>'] else [] end)
+          || ['<|' || class || '|>'] || (case when text_value is not null then [text_value] else [] end) end as body from c),
+      x as (select id, rn, unnest(s || body || e) as token, generate_subscripts(s || body || e, 1) as i, len(s) as a, len(s) + len(body) as b from l)
+      select id, row_number() over (partition by id order by rn, i) as k, case when i <= a or i > b then -1 else rn - 1 end as row_no, token from x"""
+
+
 GAPS = f"""(select id, (epoch_us(time) - epoch_us(prev)) // 1000000 as gap_s from (select id, time, lag(time) over (partition by id order by time nulls first, _src) as prev from {CLINICAL}) where time > prev)"""
 
 SPECIAL = """
@@ -222,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
         "vocab_special": SPECIAL,
         "encode_tokens_factored": IDS[False],
         "encode_tokens_fused": IDS[True],
+        "encode_structure": STRUCTURE,
         "vocab_full": VOCABULARY,
         "encode_continuous": CONTINUOUS,
         "decode_values": DECODED,
